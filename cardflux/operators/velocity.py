@@ -11,14 +11,15 @@ A window over the raw rows would put a customer with much of the traffic into a
 re-read the frame for every row. All rows of one (customer, second) share their values, so the
 features are computed on aggregates instead:
 
-1. transactions and spend per (customer, second), combined before the shuffle;
-2. visits as distinct (customer, merchant, second), joined into stretches without a gap of more
-   than an hour. A stretch adds one merchant from its first second until an hour after its last,
-   so a running total of +1/-1 steps is the exact distinct count, with no sets;
-3. time is cut into blocks. A second also enters the next block if it can still matter there, so
+1. visits: transactions and spend per (customer, merchant, second), combined before the shuffle;
+2. time is cut into blocks. A visit also enters the next block if it can still matter there, so
    blocks are independent and a window partition holds at most one row per second of a block and
    its lookback, however many rows the customer has;
-4. running totals at t minus running totals just before the frame. Amounts are summed as decimals,
+3. visits to a merchant without a gap of more than an hour form a stretch. A stretch adds one
+   merchant from its first second until an hour after its last, so a running total of +1/-1 steps
+   is the exact distinct count, with no sets;
+4. steps, transactions and spend per (customer, second), again combined before the shuffle;
+5. running totals at t minus running totals just before the frame. Amounts are summed as decimals,
    which makes the difference exact and the outcome independent of task order.
 
 The result goes back to the rows by (customer, second); adaptive execution splits a key that is
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cardflux.model import DAY, HOUR, LIMITS, Limits
 
-BLOCK = 2 * DAY
+BLOCK = 7 * DAY
 EXACT_MONEY = "decimal(28,10)"
 ACTIVITY_COLUMNS = ["customer_id", "_second", "merchant_id", "transaction_id", "amount_usd"]
 SKETCH_LOG_BUCKETS = 12
@@ -87,22 +88,16 @@ def recent_activity(history: DataFrame, batch: DataFrame) -> DataFrame:
 def rolling_features(activity: DataFrame, approx: bool = False) -> DataFrame:
     """One row per (customer, second) with the three features."""
     dated = activity.where(F.col("customer_id").isNotNull() & F.col("_second").isNotNull())
-    totals = [F.count("transaction_id").alias("_txns"), F.sum(F.col("amount_usd").cast(EXACT_MONEY)).alias("_spend")]
-    if approx:
-        totals.append(F.hll_sketch_agg("merchant_id", SKETCH_LOG_BUCKETS).alias("_sketch"))
-    per_second = _reaching_blocks(dated.groupBy("customer_id", "_second").agg(*totals), DAY)
-
+    txns = F.count("transaction_id").alias("_txns")
+    spend = F.sum(F.col("amount_usd").cast(EXACT_MONEY)).alias("_spend")
     in_time = Window.partitionBy("customer_id", "_block").orderBy("_second")
     if approx:
-        timeline = per_second
-        merchants = F.hll_sketch_estimate(F.hll_union_agg("_sketch").over(in_time.rangeBetween(-HOUR, Window.currentRow)))
+        sketch = F.hll_sketch_agg("merchant_id", SKETCH_LOG_BUCKETS).alias("_sketch")
+        timeline = _reaching_blocks(dated.groupBy("customer_id", "_second").agg(txns, spend, sketch))
+        last_hour = in_time.rangeBetween(-HOUR, Window.currentRow)
+        merchants = F.hll_sketch_estimate(F.hll_union_agg("_sketch").over(last_hour))
     else:
-        timeline = (
-            per_second.withColumn("_step", F.lit(0))
-            .unionByName(_merchant_steps(dated), allowMissingColumns=True)
-            .groupBy("customer_id", "_block", "_second")
-            .agg(*[F.sum(name).alias(name) for name in ("_txns", "_spend", "_step")])
-        )
+        timeline = _steps_in_time(_reaching_blocks(dated.groupBy("customer_id", "_second", "merchant_id").agg(txns, spend)))
         merchants = F.sum("_step").over(in_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))
 
     own_second = (F.col("_txns") > 0) & (_block_of(F.col("_second")) == F.col("_block"))
@@ -126,29 +121,36 @@ def _block_of(second: Column) -> Column:
     return second - F.pmod(second, F.lit(BLOCK))
 
 
-def _reaching_blocks(df: DataFrame, reach: int) -> DataFrame:
-    """Repeat each row for every block in which it can still count ``reach`` seconds later."""
+def _reaching_blocks(df: DataFrame) -> DataFrame:
+    """Repeat each row for every block in which the longest lookback can still reach it."""
     second = F.col("_second")
-    return df.withColumn("_block", F.explode(F.sequence(_block_of(second), _block_of(second + reach), F.lit(BLOCK).cast("long"))))
+    return df.withColumn("_block", F.explode(F.sequence(_block_of(second), _block_of(second + DAY), F.lit(BLOCK).cast("long"))))
 
 
-def _merchant_steps(activity: DataFrame) -> DataFrame:
-    """+1 where a customer starts a stretch of visits to a merchant, -1 once its last hour is over."""
-    visits = activity.where(F.col("merchant_id").isNotNull()).select("customer_id", "merchant_id", "_second").distinct()
+def _steps_in_time(visits: DataFrame) -> DataFrame:
+    """Per (customer, block, second): transactions, spend, and by how much the number of merchants changes.
+
+    A visit that opens a stretch adds a merchant; one that closes it takes the merchant away once
+    its last hour is over. A visit without a merchant changes no merchant count.
+    """
     in_time = Window.partitionBy("customer_id", "merchant_id", "_block").orderBy("_second")
-    second = F.col("_second")
-    before, after = F.lag("_second").over(in_time), F.lead("_second").over(in_time)
-    starts = before.isNull() | (second - before > HOUR)
-    ends = after.isNull() | (after - second > HOUR)
-    marked = _reaching_blocks(visits, HOUR).select("customer_id", "_block", "_second", starts.alias("starts"), ends.alias("ends"))
-    steps = F.array(
-        F.when(F.col("starts"), F.struct(second.alias("_second"), F.lit(1).alias("_step"))),
-        F.when(F.col("ends"), F.struct((second + HOUR + 1).alias("_second"), F.lit(-1).alias("_step"))),
+    second, named = F.col("_second"), F.col("merchant_id").isNotNull()
+    neighbours = visits.withColumns({"_before": F.lag(second).over(in_time), "_after": F.lead(second).over(in_time)})
+    opens = named & (F.col("_before").isNull() | (second - F.col("_before") > HOUR))
+    closes = named & (F.col("_after").isNull() | (F.col("_after") - second > HOUR))
+    here = F.struct(second.alias("_second"), "_txns", "_spend", opens.cast("int").alias("_step"))
+    later = F.struct(
+        (second + HOUR + 1).alias("_second"),
+        F.lit(0).cast("long").alias("_txns"),
+        F.lit(None).cast(neighbours.schema["_spend"].dataType).alias("_spend"),
+        F.lit(-1).alias("_step"),
     )
+    changes = F.when(closes, F.array(here, later)).otherwise(F.array(here))
     return (
-        marked.where("starts OR ends")
-        .select("customer_id", "_block", F.explode(F.array_compact(steps)).alias("step"))
-        .select("customer_id", "_block", "step._second", "step._step")
+        neighbours.select("customer_id", "_block", F.explode(changes).alias("_change"))
+        .select("customer_id", "_block", "_change.*")
+        .groupBy("customer_id", "_block", "_second")
+        .agg(*[F.sum(name).alias(name) for name in ("_txns", "_spend", "_step")])
     )
 
 

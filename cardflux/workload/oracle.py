@@ -133,7 +133,7 @@ for _p in ("a", "b"):
     }
 
 CTES["c_stage"] = """
-    SELECT * REPLACE (CAST(((CAST(amount_usd * 100 AS BIGINT) * 2 + 50) // 100) AS DECIMAL(18,2)) / 100 AS amount_usd) FROM b_stage"""
+    SELECT * REPLACE (CAST(((CAST(amount_usd * 100 AS BIGINT) * 2 + 50) // 100) / 100.0 AS DECIMAL(12,2)) AS amount_usd) FROM b_stage"""
 
 for _p in ("a", "b", "c"):
     CTES |= {

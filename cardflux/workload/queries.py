@@ -74,8 +74,19 @@ def _lines_valid(spark, sf_dir):
     return split_flagged(_flag(fx.lineitem_raw(spark, sf_dir)))[0]
 
 
+def _staged(spark, curated: DataFrame, purpose: str) -> DataFrame:
+    """Curated rows written once and read back: dimensions and fact each scan them, pruned to their columns."""
+    folder = scratch_folder(spark, purpose)
+    curated.write.parquet(folder)
+    return tables.read_stage(spark, folder)
+
+
+def _events_stage(spark, sf_dir):
+    return _staged(spark, _events_curated(spark, sf_dir), "events-curated")
+
+
 def _lines_stage(spark, sf_dir):
-    return tables.to_stage(enrich(_lines_valid(spark, sf_dir)))
+    return _staged(spark, enrich(_lines_valid(spark, sf_dir)), "lines-curated")
 
 
 def _load(spark: SparkSession, stage: DataFrame, dates: tuple[dt.date, dt.date]) -> Star:
@@ -90,7 +101,7 @@ def _load(spark: SparkSession, stage: DataFrame, dates: tuple[dt.date, dt.date])
 
 
 def _events_star(spark, sf_dir):
-    return _load(spark, tables.to_stage(_events_curated(spark, sf_dir)), fx.EVENTS_DATES)
+    return _load(spark, _events_stage(spark, sf_dir), fx.EVENTS_DATES)
 
 
 def _lines_star(spark, sf_dir):
@@ -162,12 +173,6 @@ def curated_roundtrip(spark, sf_dir):
     return tables.read_curated(spark, folder)
 
 
-def stage_curated(spark, sf_dir):
-    folder = scratch_folder(spark, "stage")
-    tables.write_curated(_events_curated(spark, sf_dir), folder)
-    return tables.read_stage(spark, folder)
-
-
 def adhoc_sql(spark, sf_dir):
     views.register_views(_lines_star(spark, sf_dir), fx.LINES_AS_OF)
     return spark.sql(
@@ -259,15 +264,14 @@ def dedup_transactions(spark, sf_dir):
     return kept.select(*CURATED_KEYS, "event_time", "amount_usd")
 
 
-def _two_batches(spark, sf_dir):
-    stage = _lines_stage(spark, sf_dir)
+def _two_batches(stage):
     first_day = F.lit(FIRST_BATCH_BEFORE).cast("date")
     return stage.where(F.col("ingest_date") < first_day), stage.where(F.col("ingest_date") >= first_day)
 
 
 def _upserted(spark, sf_dir, upsert):
     """A load of the earlier order lines followed by one of the later ones."""
-    first, second = _two_batches(spark, sf_dir)
+    first, second = _two_batches(_lines_stage(spark, sf_dir))
     return upsert(upsert(None, first, fx.LOAD_TS), second, SECOND_LOAD)
 
 
@@ -299,7 +303,7 @@ def load_star_unresolved(spark, sf_dir):
 def incremental_fact_load(spark, sf_dir):
     """What a second load of all order lines adds to a fact that holds the earlier ones."""
     stage = _lines_stage(spark, sf_dir)
-    first, _ = _two_batches(spark, sf_dir)
+    first, _ = _two_batches(stage)
     star = _load(spark, stage, fx.LINES_DATES)
     star = star.with_fact(star_ops.load_fact(first, Star(star.customers, star.merchants, star.dates, star.signals), fx.LOAD_TS))
     added = star_ops.load_fact(stage, star, SECOND_LOAD)
@@ -347,6 +351,12 @@ def load_freshness(spark, sf_dir):
 # -- streaming --------------------------------------------------------------
 
 
+def stage_curated(spark, sf_dir):
+    folder = scratch_folder(spark, "stage")
+    tables.write_curated(_events_curated(spark, sf_dir), folder)
+    return tables.read_stage(spark, folder)
+
+
 def _event_stream(spark, sf_dir):
     schema = fx.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -357,7 +367,7 @@ def stream_landing(spark, sf_dir):
     folder = scratch_folder(spark, "stream-landing")
     records = landing.to_topic_records(_event_stream(spark, sf_dir))
     land_topic(records, f"{folder}/data", f"{folder}/checkpoint", "parquet", None).awaitTermination()
-    return landing.read_landing(spark, f"{folder}/data", "parquet")
+    return landing.read_landing(spark, f"{folder}/data", "parquet").select(*model.RAW_SCHEMA.fieldNames())
 
 
 def stream_validate(spark, sf_dir):
