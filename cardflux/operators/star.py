@@ -95,7 +95,8 @@ def as_fact(found: DataFrame, existing: DataFrame | None = None, load_ts: dt.dat
     """Fact layout with row keys after the greatest existing one.
 
     Row keys are unique but have gaps, and nothing joins on them: they are numbered within each
-    task, which costs no shuffle.
+    task, which costs no shuffle. They are settled once the rows are written, so ``existing`` has to
+    be a stored fact.
     """
     start = F.lit(0) if existing is None else F.coalesce(existing.agg(F.max("transaction_sk")).scalar(), F.lit(0))
     return found.withColumns(
