@@ -17,6 +17,11 @@ from cardflux.operators.rows import first_per_key
 FOREIGN_KEYS = ["customer_key", "merchant_key", "date_key", "fraud_signal_key"]
 SIGNALS = ["cross_merchant_flag", "is_international", "risk_tier", "high_velocity_flag"]
 
+# Which copy of a transaction id is kept: the earliest, then the smallest by amount and merchant.
+COPY_ORDER = ["event_time", "amount_usd", "merchant_id"]
+# What the fact takes from the stage; further ties are broken by these before any other column.
+FACT_INPUTS = ["transaction_id", *COPY_ORDER, "customer_id", *SIGNALS[:3], *model.FACT_COLUMNS[7:15], "ingest_date"]
+
 
 @dataclass(frozen=True)
 class Star:
@@ -33,8 +38,8 @@ class Star:
 
 
 def distinct_transactions(stage: DataFrame) -> DataFrame:
-    """One row per transaction id: the earliest, then the smallest by amount and merchant."""
-    return first_per_key(stage, "transaction_id", ["event_time", "amount_usd", "merchant_id"])
+    """One row per transaction id."""
+    return first_per_key(stage, "transaction_id", [name for name in FACT_INPUTS[1:] if name in stage.columns])
 
 
 def not_yet_loaded(stage: DataFrame, fact: DataFrame | None, same_days_only: bool = False) -> DataFrame:
@@ -83,8 +88,11 @@ def load_fact(
     limits: Limits = LIMITS,
     same_days_only: bool = False,
 ) -> DataFrame:
-    """The fact rows a batch adds: de-duplicated, not yet loaded, and resolved in every dimension."""
-    new = not_yet_loaded(distinct_transactions(stage), star.fact, same_days_only)
+    """The fact rows a batch adds: de-duplicated, not yet loaded, and resolved in every dimension.
+
+    Columns the fact does not take are dropped before the first shuffle.
+    """
+    new = not_yet_loaded(distinct_transactions(stage.select(*FACT_INPUTS)), star.fact, same_days_only)
     found = look_up_keys(new, star, limits)
     for key in FOREIGN_KEYS:
         found = found.where(F.col(key).isNotNull())

@@ -39,7 +39,8 @@ def pick(values: list[str], index: Column) -> Column:
 
 
 def uuid_text(text: Column) -> Column:
-    return F.regexp_replace(F.md5(text), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    digest = F.md5(text)
+    return F.concat_ws("-", *[F.substring(digest, start, length) for start, length in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
 def customer_count(spark: SparkSession, sf_dir: str) -> int:
@@ -85,7 +86,8 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineitem_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    # Lines and orders grow together, so neither side of their join is ever broadcast.
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").hint("merge")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     suppliers = table(spark, sf_dir, "supplier").join(
         table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
