@@ -54,8 +54,8 @@ def not_yet_loaded(stage: DataFrame, fact: DataFrame | None, same_days_only: boo
         return stage
     loaded = fact.select("transaction_id", "ingest_date")
     if same_days_only:
-        span = stage.agg(F.min("ingest_date").alias("first"), F.max("ingest_date").alias("last"))
-        loaded = loaded.where(F.col("ingest_date").between(span.select("first").scalar(), span.select("last").scalar()))
+        span = stage.agg(F.struct(F.min("ingest_date").alias("first"), F.max("ingest_date").alias("last"))).scalar()
+        loaded = loaded.where(F.col("ingest_date").between(span.getField("first"), span.getField("last")))
     seen = loaded.select("transaction_id").join(stage.select("transaction_id"), "transaction_id", "left_semi")
     return stage.join(seen, "transaction_id", "left_anti")
 

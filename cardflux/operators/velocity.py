@@ -66,11 +66,11 @@ def add_velocity_features(
 def recent_activity(history: DataFrame, batch: DataFrame) -> DataFrame:
     """What the batch can look back on: the last day before it, for the batch's customers only.
 
-    The bounds are scalar subqueries, so the day filter prunes the history's partitions.
+    The bounds come from one scalar subquery, so the day filter prunes the history's partitions.
     """
-    span = batch.agg(F.min("event_time_ts").alias("first"), F.max("event_time_ts").alias("last"))
-    day_before = span.select(F.col("first") - F.expr("INTERVAL 1 DAY")).scalar()
-    last = span.select("last").scalar()
+    earliest = F.min("event_time_ts") - F.expr("INTERVAL 1 DAY")
+    bounds = batch.agg(F.struct(earliest.alias("day_before"), F.max("event_time_ts").alias("last"))).scalar()
+    day_before, last = bounds.getField("day_before"), bounds.getField("last")
     in_reach = (
         (F.col("ingest_date") >= F.to_date(day_before))
         & (F.col("ingest_date") <= F.to_date(last))

@@ -214,14 +214,17 @@ def _sql(query: str) -> str:
     return f"WITH {steps}\n{query}"
 
 
-_RAW = ", ".join(model.RAW_SCHEMA.fieldNames())
+_FLAG_TEXT = "CAST(is_international AS VARCHAR) AS is_international"
+_RAW = ", ".join({"is_international": _FLAG_TEXT}.get(name, name) for name in model.RAW_SCHEMA.fieldNames())
 _CURATED = ", ".join(
-    {"event_time_ts": _time("event_time_ts"), "ingest_date": _day("ingest_date")}.get(name, name) for name in model.CURATED_COLUMNS
+    {"event_time_ts": _time("event_time_ts"), "ingest_date": _day("ingest_date"), "is_international": _FLAG_TEXT}.get(name, name)
+    for name in model.CURATED_COLUMNS
 )
 _STAGE = ", ".join(
     {
         "event_time": _time("event_time"),
         "ingest_date": _day("ingest_date"),
+        "is_international": _FLAG_TEXT,
         "amount_usd": _money("amount_usd"),
         "spend_velocity_24h": _money("spend_velocity_24h"),
     }.get(name, name)
@@ -273,8 +276,7 @@ _QUERIES: dict[str, str] = {
     "adhoc_sql": f"""SELECT merchant_segment, CAST(year(txn_date) AS INTEGER) AS year, {_money("sum(revenue)", "revenue")},
         {_count("sum(txn_count)", "txns")} FROM b_performance GROUP BY merchant_segment, year(txn_date)""",
     # validation
-    "enforce_schema": f"""SELECT {", ".join(n for n in model.RAW_SCHEMA.fieldNames() if n not in ("zip_code", "kafka_ingest_time"))},
-        {_time("event_time_ts")}, {_day("ingest_date")} FROM a_typed""",
+    "enforce_schema": f"SELECT {_RAW}, {_time('event_time_ts')}, {_day('ingest_date')} FROM a_typed",
     "validation_flags": f"SELECT transaction_id, {', '.join(RULE_NAMES)} FROM a_flagged",
     "valid_rows": f"SELECT {_RAW}, {_time('event_time_ts')}, {_day('ingest_date')} FROM a_valid",
     "quarantine_rows": f"SELECT transaction_id, transaction_type, merchant_category, {_day('ingest_date')}, {_FAILED} FROM a_flagged WHERE NOT ({_ALL})",

@@ -393,7 +393,7 @@ QUERIES = {
     "stage_curated": stage_curated,
     "adhoc_sql": adhoc_sql,
     # validation
-    "enforce_schema": lambda s, d: enforce_schema(fx.events_raw(s, d)).drop("zip_code", "kafka_ingest_time"),
+    "enforce_schema": lambda s, d: enforce_schema(fx.events_raw(s, d)),
     "validation_flags": lambda s, d: _events_flagged(s, d).select("transaction_id", *RULE_NAMES),
     "valid_rows": lambda s, d: split_flagged(_events_flagged(s, d))[0],
     "quarantine_rows": quarantine_rows,
@@ -460,10 +460,29 @@ QUERIES = {
 }
 
 
+# Results in which is_international can be NULL give it as text, as engines differ in nullable booleans.
+NULLABLE_FLAG = {
+    "scan_raw",
+    "parse_json_events",
+    "enforce_schema",
+    "valid_rows",
+    "enrich",
+    "curated_roundtrip",
+    "stage_curated",
+    "stream_landing",
+}
+
+
 def registered():
     """Name to callable, with session time zone and output types settled."""
 
-    def wrap(query):
-        return lambda spark, sf_dir: comparable(query(use_utc(spark), sf_dir))
+    def wrap(name, query):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            result = query(use_utc(spark), sf_dir)
+            if name in NULLABLE_FLAG:
+                result = result.withColumn("is_international", F.col("is_international").cast("string"))
+            return comparable(result)
+
+        return run
 
-    return {name: wrap(query) for name, query in QUERIES.items()}
+    return {name: wrap(name, query) for name, query in QUERIES.items()}
