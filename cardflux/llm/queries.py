@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardflux.llm import binary_ids, packing
+from cardflux.llm import binary_ids, minhash, packing
 from cardflux.llm.shipping import ship
 from cardflux.llm.store import table
 from cardflux.sources.scratch import scratch_folder
@@ -14,6 +14,10 @@ def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "token-ids")
     binary_ids.write_token_ids(table(spark, sf_dir, "documents"), folder, "word_bpe_49k.json", end_id=2)
@@ -22,6 +26,7 @@ def op8_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_hilbert_packing": op2_hilbert_packing,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op8_orc_token_ids": op8_orc_token_ids,
 }
 
