@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardflux.llm import binary_ids, minhash, packing
+from cardflux.llm import binary_ids, minhash, packing, quality_rules, resampling, toxicity
 from cardflux.llm.shipping import ship
 from cardflux.llm.store import table
 from cardflux.sources.scratch import scratch_folder
 
 
+def op1_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.graded(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -18,6 +23,15 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judged_documents(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "token-ids")
     binary_ids.write_token_ids(table(spark, sf_dir, "documents"), folder, "word_bpe_49k.json", end_id=2)
@@ -25,8 +39,11 @@ def op8_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_hilbert_packing": op2_hilbert_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_importance_resampling": op6_importance_resampling,
     "op8_orc_token_ids": op8_orc_token_ids,
 }
 
