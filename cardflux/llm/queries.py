@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardflux.llm import binary_ids, minhash, packing, quality_rules, resampling, toxicity
+from cardflux.llm import binary_ids, minhash, packing, quality_rules, resampling, run_index, toxicity
 from cardflux.llm.shipping import ship
 from cardflux.llm.store import table
 from cardflux.sources.scratch import scratch_folder
@@ -38,6 +38,10 @@ def op8_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.checksums(binary_ids.read_token_ids(spark, folder))
 
 
+def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_hilbert_packing": op2_hilbert_packing,
@@ -45,6 +49,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_importance_resampling": op6_importance_resampling,
     "op8_orc_token_ids": op8_orc_token_ids,
+    "op9_run_length_index": op9_run_length_index,
 }
 
 
