@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardflux.llm import binary_ids, minhash, packing, quality_rules, resampling, run_index, toxicity
+from cardflux.llm import binary_ids, minhash, packing, passages, quality_rules, resampling, run_index, toxicity
 from cardflux.llm.shipping import ship
 from cardflux.llm.store import table
 from cardflux.sources.scratch import scratch_folder
@@ -32,6 +32,10 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op8_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "token-ids")
     binary_ids.write_token_ids(table(spark, sf_dir, "documents"), folder, "word_bpe_49k.json", end_id=2)
@@ -48,6 +52,7 @@ QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_importance_resampling": op6_importance_resampling,
+    "op7_compact_windows": op7_compact_windows,
     "op8_orc_token_ids": op8_orc_token_ids,
     "op9_run_length_index": op9_run_length_index,
 }
