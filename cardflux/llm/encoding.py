@@ -67,23 +67,25 @@ class Encoder:
         order = np.argsort(starts, kind="stable")
         return starts[order], ends[order]
 
-    def remember(self, keys: np.ndarray, texts: list[str]) -> None:
-        # One call for many units: the end mark between them comes back as its own id.
+    def lookup(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each unit, and all their ids in a row."""
         # Units with marks of their own belong to texts that are encoded whole.
         texts = [text.replace("<|", "") for text in texts]
+        # One call for many units: the end mark between them comes back as its own id.
         joined = [END.join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
         marked = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
         marked = np.concatenate([part for ids in marked for part in (ids, [self.end])])
-        ends = np.flatnonzero(marked == self.end)
-        lengths = np.diff(ends, prepend=-1) - 1
-        flat = marked[marked != self.end].astype(np.uint16)
+        return np.diff(np.flatnonzero(marked == self.end), prepend=-1) - 1, marked[marked != self.end]
+
+    def remember(self, keys: np.ndarray, texts: list[str]) -> None:
+        lengths, flat = self.lookup(texts)
         places = np.cumsum(lengths, dtype=np.int64) - lengths + len(self.ids)
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
         self.places = np.concatenate([self.places, places])[order]
-        self.lengths = np.concatenate([self.lengths, lengths])[order]
-        self.ids = np.concatenate([self.ids, flat])
+        self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])[order]
+        self.ids = np.concatenate([self.ids, flat.astype(np.uint16)])
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the slice's texts, and where each text's begin."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardflux.llm import binary_ids, minhash, packing, passages, quality_rules, resampling, run_index, toxicity
+from cardflux.llm import binary_ids, minhash, packing, passages, pieces, quality_rules, resampling, run_index, toxicity
 from cardflux.llm.shipping import ship
 from cardflux.llm.store import table
 from cardflux.sources.scratch import scratch_folder
@@ -46,6 +46,10 @@ def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_index.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op10_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_hilbert_packing": op2_hilbert_packing,
@@ -55,6 +59,7 @@ QUERIES = {
     "op7_compact_windows": op7_compact_windows,
     "op8_orc_token_ids": op8_orc_token_ids,
     "op9_run_length_index": op9_run_length_index,
+    "op10_sentencepiece_viterbi": op10_sentencepiece_viterbi,
 }
 
 
