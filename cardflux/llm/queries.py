@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardflux.llm import binary_ids, minhash, packing, passages, pieces, quality_rules, resampling, run_index, toxicity
+from cardflux.llm import binary_ids, minhash, packing, passages, pieces, postings, quality_rules, resampling, run_index, toxicity
 from cardflux.llm.shipping import ship
 from cardflux.llm.store import table
 from cardflux.sources.scratch import scratch_folder
@@ -23,6 +23,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judged_documents(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_hilbert_packing": op2_hilbert_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_posting_lists": op4_posting_lists,
     "op5_quality_rules": op5_quality_rules,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_compact_windows": op7_compact_windows,
