@@ -4,12 +4,13 @@ A document's set holds the 64-bit hashes of its distinct word shingles. One perm
 bins, the least value of each bin is kept, and an empty bin copies the bin that a fixed sequence of hashes
 finds first. Five bins make a band; documents that share a band meet in a bucket.
 
-Buckets emit stars, not pairs. The first star of a bucket joins its least member with all others; stars of
-later rounds start from more of its members, chosen by hash, and reach only members that no confirmed link
-has joined with them yet. The rounds go on until no bucket holds members of two components that have not
-been compared, so a round emits a few edges per member, and no pair of one bucket is lost because it is not
-linked with the centre of a star. Every edge is confirmed on the full sets. Documents with equal sets are
-one node from the start, so copies cost one row each.
+Buckets emit stars, not pairs: an edge joins each member with the bucket's centre, the member that meets the
+most others in all its buckets, so that the copies of one text have one centre nearly everywhere. Edges are
+confirmed on the full sets. Buckets that still hold several components then go through blocks of at most
+about ``BLOCK`` members: a block of members outside the centre's component meets the blocks of the bucket, and only
+pairs that can be linked become edges. That is an upper bound without loss: with token counts in
+``BINS`` bins, two sets share at most the sum of the lesser counts. So no pair of one bucket is lost because it is not
+linked with a centre, and few pairs are emitted. Documents with equal sets are one node from the start, so copies cost one row each.
 
 With 40 bands of 5 bins, two documents of similarity 0.75 share no bucket with probability 2e-5.
 
@@ -36,8 +37,8 @@ SHINGLE = 5
 BANDS = 40
 ROWS = 5
 THRESHOLD = 75
-#: Stars per bucket grow by this factor from round to round.
-GROWTH = 16
+BINS = 256
+BLOCK = 256
 
 
 
@@ -113,7 +114,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
 
 
 def _node_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``node, members`` of the wanted nodes (columns ``doc_id, node``), from their documents' whole texts.
+    """``node, members, bins`` of the wanted nodes (columns ``doc_id, node``), from their documents' whole texts.
 
     Texts are told apart by their digest, as a ``doc_id`` may repeat.
     """
@@ -124,12 +125,12 @@ def _node_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 nodes = [int(mix(s.sum(dtype=np.uint64)).astype(np.int64)) if len(s) else None for s in sets]
             keep = [i for i, (node, want) in enumerate(zip(nodes, part.column("node").to_pylist())) if node == want]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([nodes[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["node", "members"]
-            )
+            bins = [np.bincount((sets[i] % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype("<u2").tobytes() for i in keep]
+            columns = [pa.array([nodes[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary()), pa.array(bins, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "members", "bins"])
 
     texts = require(docs, ["doc_id", "text"]).join(wanted, "doc_id")
-    return texts.select("node", "text").mapInArrow(build, "node long, members binary")
+    return texts.select("node", "text").mapInArrow(build, "node long, members binary, bins binary")
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -149,46 +150,67 @@ def _confirmed(edges: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return edges.join(right, "b").join(left, "a").mapInArrow(compare, "a long, b long")
 
 
+def _possible(open_members: DataFrame, threshold: int) -> DataFrame:
+    """``a, b``: pairs of one bucket and different roots that may be alike enough, block against block."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                sides = []
+                for name in ("x", "y"):
+                    rows = batch.column(name)[i].values
+                    bins = np.frombuffer(b"".join(rows.field("bins").to_pylist()), "<u2").reshape(len(rows), BINS).astype(np.int32)
+                    sides.append((*[rows.field(f).to_numpy() for f in ("node", "n", "root")], bins))
+                (x, x_n, x_root, x_bins), (y, y_n, y_root, y_bins) = sides
+                least, most = np.minimum(x_n[:, None], y_n), np.maximum(x_n[:, None], y_n)
+                left, right = np.nonzero((x_root[:, None] != y_root) & (100 * least >= threshold * most))
+                for start in range(0, len(left), 20_000):
+                    p, q = left[start : start + 20_000], right[start : start + 20_000]
+                    shared = np.minimum(x_bins[p], y_bins[q]).sum(axis=1)
+                    likely = (100 + threshold) * shared >= threshold * (x_n[p] + y_n[q])
+                    found.append(np.stack([x[p[likely]], y[q[likely]]]))
+            pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n_members") / BLOCK))
+    blocks = open_members.withColumn("chunk", chunk).groupBy("bucket", "central", "chunk").agg(F.collect_list(F.struct("node", "n", "root", "bins")).alias("block"))
+    x = blocks.where("not central").select("bucket", F.col("chunk").alias("x_chunk"), F.col("block").alias("x"))
+    y = blocks.select("bucket", "central", F.col("chunk").alias("y_chunk"), F.col("block").alias("y"))
+    met = x.join(y, "bucket").where("central or y_chunk >= x_chunk").select("x", "y")
+    return met.mapInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     signed = stored(signatures(docs, size, bands, rows), "signatures")
-    nodes = stored(signed.where("node is not null").groupBy("node", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("check")), "nodes")
+    nodes = stored(signed.where("node is not null").groupBy("node", "n_shingles").agg(F.min("doc_id").alias("doc_id")), "nodes")
     # One row with signatures per node; rows of the same document and set are alike.
-    one_each = signed.select("doc_id", "node", "bands").join(nodes.select("doc_id", "node", "n_shingles"), ["doc_id", "node"])
+    one_each = signed.select("doc_id", "node", "bands").join(nodes.select("doc_id", "node", "n_shingles"), ["doc_id", "node"]).dropDuplicates(["node"])
     buckets = one_each.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").cast("int").alias("n"))
-    met = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.min_by("n", "node").alias("hub_n"), F.count(F.lit(1)).alias("n_members"))
-    met = met.where("hub <> last").drop("last")
+    met = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_members")).where("n_members > 1")
     members = stored(buckets.join(met, "bucket"), "buckets")
-
-    def near_in_size(x: str, y: str):
-        return 100 * F.least(x, y) >= threshold * F.greatest(x, y)
+    weights = members.groupBy("node").agg(F.sum("n_members").alias("weight"))
+    weighed = stored(members.join(weights, "node"), "weighed-buckets")
+    centres = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node", "n")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    rayed = stored(weighed.drop("weight").join(centres, "bucket"), "stars")
 
     wanted = stored(members.select("node").distinct().join(nodes.where("doc_id is not null").select("node", "doc_id"), "node"), "candidates")
     sets = stored(_node_sets(docs, wanted, size).dropDuplicates(["node"]), "sets")
-    first = members.where(F.col("node") != F.col("hub")).where(near_in_size("n", "hub_n"))
-    links = stored(_confirmed(first.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, threshold), "links")
+    near_in_size = 100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")
+    first = rayed.where("node <> hub").where(near_in_size).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = stored(_confirmed(first, sets, threshold), "links")
     roots = stored(components(links), "roots")
-    largest = members.agg(F.max("n_members")).first()[0] or 0
-    # Two members of a bucket were both compared with its hub; two others, in a bucket of three or more, were not yet.
-    draw = F.pmod(F.xxhash64("node", "bucket"), F.col("n_members"))
-    open_members = members.where("n_members > 2").select("bucket", "node", "n", "n_members", (F.col("node") == F.col("hub")).alias("is_hub"), draw.alias("draw"))
-    below, upto = 0, GROWTH
-    while below < largest and largest > 2:
-        rooted = open_members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-        open_members = stored(rooted.join(split, "bucket", "left_semi").drop("root"), "open-members")
-        rooted = open_members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).where("not is_hub")
-        centres = rooted.where((F.col("draw") >= below) & (F.col("draw") < upto))
-        centres = centres.select("bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"), F.col("draw").alias("a_draw"))
-        reach = rooted.join(centres, "bucket").where("root <> a_root and (draw > a_draw or (draw = a_draw and node > a))").where(near_in_size("n", "a_n"))
-        edges = stored(reach.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "stars")
-        found = stored(_confirmed(edges, sets, threshold), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = stored(components(links), "roots")
-        if open_members.isEmpty():
-            break
-        below, upto = upto, upto * GROWTH
+    # Two members of a bucket have met if one is its centre; others, in a bucket of three or more, have not yet.
+    rooted = rayed.where("n_members > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    hub_roots = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    opened = rooted.join(split, "bucket", "left_semi").where("node <> hub").join(hub_roots, "hub", "left")
+    opened = stored(opened.select("bucket", "node", "n", "root", "n_members", (F.col("root") == F.coalesce("hub_root", "hub")).alias("central")), "open-members")
+    edges = stored(_possible(opened.join(sets.select("node", "bins"), "node"), threshold), "possible-links")
+    found = stored(_confirmed(edges, sets, threshold), "more-links")
+    if not found.isEmpty():
+        roots = stored(components(links.unionByName(found)), "roots")
     return _labelled(signed, nodes, roots)
 
 
