@@ -36,8 +36,8 @@ from cardflux.llm.textbytes import Ranges, text_slices
 
 LENGTH = 200
 GRAM = 32
-#: Distinct fragments of one anchor that one index may hold (about 0.7 MB of text).
-MOST_INDEXED = 2_000
+#: Distinct fragments of one anchor that one index may hold (about 2 MB of text).
+MOST_INDEXED = 8_000
 #: Text that one index takes, from as many anchors as fit.
 INDEX_BYTES = 400_000
 #: Longer texts are cut into overlapping stretches, which only bounds memory.
