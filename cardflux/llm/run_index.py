@@ -14,7 +14,8 @@ their windows are all repeated. For the rest, the distinct fragments of an ancho
 
 Anchors with more distinct fragments than ``MOST_INDEXED`` are too much for one task; their windows are compared through
 a grouped table of window hashes instead, which combines before the shuffle and has no bound on a group.
-The index compares bytes; "all equal" and the grouped table rest on two independent 64-bit hashes.
+The index compares bytes; "all equal" and the grouped table rest on two independent 64-bit hashes, and rows are told apart
+by a 64-bit hash of id and text.
 
 Defined cases: a NULL text is empty; texts under 200 bytes lose nothing; repeated rows, with the same or
 another ``doc_id``, count as other places and lose what they share; a NULL ``doc_id`` is kept as it is; other
@@ -43,7 +44,7 @@ INDEX_BYTES = 400_000
 #: Longer texts are cut into overlapping stretches, which only bounds memory.
 STRETCH = 1 << 22
 PLACES = 24
-OCCURRENCE = "id long, digest long, anchor long, fragment long, start long, windows int"
+OCCURRENCE = "uid long, anchor long, fragment long, start long, windows int"
 
 
 def _stretches(data: np.ndarray, bounds: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -90,9 +91,9 @@ def fragments(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> t
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """Documents with ``id`` and ``digest``, which tell rows apart unless they are alike."""
+    """Documents with ``uid``, which tells rows apart unless they are alike in id and text."""
     own = require(docs, ["doc_id", "text"])
-    return own.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("id"), F.xxhash64("text").alias("digest"))
+    return own.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
 
 
 def occurrences(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -101,10 +102,10 @@ def occurrences(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
             for part, part_bounds, begin in _stretches(data, bounds, length):
                 text, start, windows, anchor, content = fragments(part, part_bounds, length, gram)
                 take = pa.array(text)
-                columns = [rows.column("id").take(take), rows.column("digest").take(take), pa.array(anchor), pa.array(content), pa.array(start + begin), pa.array(windows.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "anchor", "fragment", "start", "windows"])
+                columns = [rows.column("uid").take(take), pa.array(anchor), pa.array(content), pa.array(start + begin), pa.array(windows.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["uid", "anchor", "fragment", "start", "windows"])
 
-    return _identified(docs).select("id", "digest", "text").mapInArrow(find, OCCURRENCE)
+    return _identified(docs).select("uid", "text").mapInArrow(find, OCCURRENCE)
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -237,7 +238,7 @@ def _grouped(contents: DataFrame, length: int) -> DataFrame:
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``anchor, fragment, content`` of the wanted fragments (``id, digest, anchor, fragment, start, windows``)."""
+    """``anchor, fragment, content`` of the wanted fragments (``uid, anchor, fragment, start, windows``)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in text_slices(batches):
@@ -250,13 +251,13 @@ def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, names=["anchor", "fragment", "content"])
 
-    places = wanted.groupBy("id", "digest").agg(F.collect_list(F.struct("anchor", "fragment", "start", "windows")).alias("places"))
-    found = _identified(docs).join(places, ["id", "digest"]).select("text", "places")
+    places = wanted.groupBy("uid").agg(F.collect_list(F.struct("anchor", "fragment", "start", "windows")).alias("places"))
+    found = _identified(docs).join(places, "uid").select("text", "places")
     return found.mapInArrow(cut, "anchor long, fragment long, content binary")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_indexed: int = MOST_INDEXED) -> DataFrame:
-    """``id, digest, low, high``: byte ranges of each document's windows that start elsewhere, too.
+    """``uid, low, high``: byte ranges of each document's windows that start elsewhere, too.
 
     ``low`` is the first byte of the range's first window, ``high`` that of its last window plus one.
     """
@@ -264,9 +265,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     anchors = occurring.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("fragment").alias("x"), F.max("fragment").alias("y"))
     shared = anchors.where("n > 1").select("anchor", (F.col("x") == F.col("y")).alias("alike"))
     repeated = stored(occurring.join(shared, "anchor"), "shared-fragments")
-    alike = repeated.where("alike").select("id", "digest", F.col("start").alias("low"), (F.col("start") + F.col("windows")).alias("high"))
+    alike = repeated.where("alike").select("uid", F.col("start").alias("low"), (F.col("start") + F.col("windows")).alias("high"))
     mixed = repeated.where("not alike")
-    first = F.min(F.struct("id", "digest", "start", "windows"))
+    first = F.min(F.struct("uid", "start", "windows"))
     distinct = stored(mixed.groupBy("anchor", "fragment").agg(F.count(F.lit(1)).alias("n"), first.alias("one")), "distinct-fragments")
     kinds = distinct.groupBy("anchor").agg((F.count(F.lit(1)) > most_indexed).alias("many"))
     wanted = distinct.join(kinds, "anchor").select("anchor", "fragment", "many", "one.*")
@@ -277,9 +278,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
         results = results.unionByName(_grouped(_contents(docs, heavy, length), length))
     judged = stored(distinct.select("anchor", "fragment", (F.col("n") > 1).alias("whole")).join(results, ["anchor", "fragment"], "left"), "judged-fragments")
     placed = mixed.join(judged, ["anchor", "fragment"])
-    whole = placed.where("whole").select("id", "digest", F.col("start").alias("low"), (F.col("start") + F.col("windows")).alias("high"))
-    part = placed.where("not whole and size(lows) > 0").select("id", "digest", "start", F.explode(F.arrays_zip("lows", "highs")).alias("r"))
-    part = part.select("id", "digest", (F.col("start") + F.col("r.lows")).alias("low"), (F.col("start") + F.col("r.highs")).alias("high"))
+    whole = placed.where("whole").select("uid", F.col("start").alias("low"), (F.col("start") + F.col("windows")).alias("high"))
+    part = placed.where("not whole and size(lows) > 0").select("uid", "start", F.explode(F.arrays_zip("lows", "highs")).alias("r"))
+    part = part.select("uid", (F.col("start") + F.col("r.lows")).alias("low"), (F.col("start") + F.col("r.highs")).alias("high"))
     return alike.unionByName(whole).unionByName(part)
 
 
@@ -312,6 +313,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     ranges = stored(repeated_ranges(docs, length, gram, most_indexed), "repeated-ranges")
-    lists = ranges.groupBy("id", "digest").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
-    joined = _identified(docs).join(lists, ["id", "digest"], "left").select("doc_id", "text", "lows", "highs")
+    lists = ranges.groupBy("uid").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    joined = _identified(docs).join(lists, "uid", "left").select("doc_id", "text", "lows", "highs")
     return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
