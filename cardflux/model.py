@@ -78,32 +78,57 @@ class Limits:
 LIMITS = Limits()
 
 
-def _fields(kind, *names):
-    return [StructField(name, kind) for name in names]
-
-
+# The layouts of raw events and curated rows, which feeds and readers rely on.
 RAW_SCHEMA = StructType(
-    _fields(StringType(), "transaction_id", "customer_id", "merchant_id", "merchant_name", "merchant_category", "city", "state")
-    + _fields(DoubleType(), "amount_usd")
-    + _fields(StringType(), "currency", "account_type", "transaction_type", "channel", "event_time", "kafka_ingest_time")
-    + _fields(BooleanType(), "is_international")
-    + _fields(StringType(), "zip_code")
+    [
+        StructField("transaction_id", StringType()),
+        StructField("customer_id", StringType()),
+        StructField("merchant_id", StringType()),
+        StructField("merchant_name", StringType()),
+        StructField("merchant_category", StringType()),
+        StructField("city", StringType()),
+        StructField("state", StringType()),
+        StructField("amount_usd", DoubleType()),
+        StructField("currency", StringType()),
+        StructField("account_type", StringType()),
+        StructField("transaction_type", StringType()),
+        StructField("channel", StringType()),
+        StructField("event_time", StringType()),
+        StructField("kafka_ingest_time", StringType()),
+        StructField("is_international", BooleanType()),
+        StructField("zip_code", StringType()),
+    ]
 )
 
 CURATED_SCHEMA = StructType(
-    _fields(StringType(), "transaction_id", "customer_id", "merchant_id", "merchant_name", "merchant_category")
-    + _fields(StringType(), "merchant_segment", "city", "state")
-    + _fields(DoubleType(), "amount_usd")
-    + _fields(StringType(), "currency", "account_type", "transaction_type", "channel")
-    + _fields(BooleanType(), "is_international")
-    + _fields(StringType(), "zip_code", "event_time")
-    + _fields(TimestampType(), "event_time_ts")
-    + _fields(DateType(), "ingest_date")
-    + _fields(IntegerType(), "hour_of_day", "day_of_week", "week_of_year")
-    + _fields(LongType(), "txn_count_last_1h", "distinct_merchants_1h")
-    + _fields(DoubleType(), "spend_velocity_24h")
-    + _fields(BooleanType(), "cross_merchant_flag")
-    + _fields(StringType(), "risk_tier")
+    [
+        StructField("transaction_id", StringType()),
+        StructField("customer_id", StringType()),
+        StructField("merchant_id", StringType()),
+        StructField("merchant_name", StringType()),
+        StructField("merchant_category", StringType()),
+        StructField("merchant_segment", StringType()),
+        StructField("city", StringType()),
+        StructField("state", StringType()),
+        StructField("amount_usd", DoubleType()),
+        StructField("currency", StringType()),
+        StructField("account_type", StringType()),
+        StructField("transaction_type", StringType()),
+        StructField("channel", StringType()),
+        StructField("is_international", BooleanType()),
+        StructField("zip_code", StringType()),
+        StructField("event_time", StringType()),
+        StructField("event_time_ts", TimestampType()),
+        StructField("ingest_date", DateType()),
+        StructField("hour_of_day", IntegerType()),
+        StructField("day_of_week", IntegerType()),
+        StructField("week_of_year", IntegerType()),
+        StructField("txn_count_last_1h", LongType()),
+        StructField("distinct_merchants_1h", LongType()),
+        StructField("spend_velocity_24h", DoubleType()),
+        StructField("cross_merchant_flag", BooleanType()),
+        StructField("risk_tier", StringType()),
+    ]
 )
 CURATED_COLUMNS = CURATED_SCHEMA.fieldNames()
 
@@ -115,6 +140,7 @@ STAGE_COLUMNS = [name for name in CURATED_COLUMNS if name != "event_time_ts"]
 MERCHANT_ATTRIBUTES = ["merchant_name", "merchant_category", "merchant_segment", "city", "state"]
 CUSTOMER_ATTRIBUTES = ["account_type", "risk_tier"]
 
+# The fact table's layout.
 FACT_COLUMNS = [
     "transaction_sk",
     "customer_key",
@@ -135,3 +161,13 @@ FACT_COLUMNS = [
     "ingest_date",
     "dw_loaded_at",
 ]
+
+FACT_SCHEMA = (
+    "transaction_sk long, customer_key long, merchant_key long, date_key int, fraud_signal_key int, transaction_id string, "
+    "amount_usd decimal(12,2), txn_count_last_1h long, distinct_merchants_1h long, spend_velocity_24h decimal(18,2), "
+    "hour_of_day int, day_of_week int, transaction_type string, channel string, currency string, event_time timestamp_ntz, "
+    "ingest_date date, dw_loaded_at timestamp_ntz"
+)
+# Columns that a table declares unique and NOT NULL.
+DECLARED_UNIQUE = {"dim_customer": ["customer_id"], "dim_merchant": ["merchant_id"], "dim_date": ["full_date"], "dim_fraud_signal": ["signal_label"], "fact": ["transaction_id"]}
+FACT_REQUIRED = ["transaction_id", "customer_key", "merchant_key", "date_key", "fraud_signal_key", "amount_usd", "event_time"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from cardflux import model
 from cardflux.functions.calendar import load_time
 from cardflux.functions.labels import high_velocity
 from cardflux.model import LIMITS, Limits
-from cardflux.operators.rows import first_per_key
+from cardflux.operators.rows import assign_surrogate_keys, first_per_key
 
 FOREIGN_KEYS = ["customer_key", "merchant_key", "date_key", "fraud_signal_key"]
 SIGNALS = ["cross_merchant_flag", "is_international", "risk_tier", "high_velocity_flag"]
@@ -32,9 +32,14 @@ class Star:
     dates: DataFrame
     signals: DataFrame
     fact: DataFrame | None = None
+    #: What loads left out: rows without a dimension match, and files that could not be read.
+    unresolved: DataFrame | None = None
+    skipped: DataFrame | None = None
+    #: One row per load: its time, its rows and the greatest row key after it.
+    loads: DataFrame | None = None
 
     def with_fact(self, fact: DataFrame) -> "Star":
-        return Star(self.customers, self.merchants, self.dates, self.signals, fact)
+        return replace(self, fact=fact)
 
 
 def distinct_transactions(stage: DataFrame) -> DataFrame:
@@ -81,14 +86,14 @@ def look_up_keys(stage: DataFrame, star: Star, limits: Limits = LIMITS) -> DataF
     )
 
 
-def load_fact(
+def resolve_fact(
     stage: DataFrame,
     star: Star,
     load_ts: dt.datetime | None = None,
     limits: Limits = LIMITS,
     same_days_only: bool = False,
 ) -> DataFrame:
-    """The fact rows a batch adds: de-duplicated, not yet loaded, and resolved in every dimension.
+    """The rows a batch adds to the fact, without row keys: de-duplicated, not yet loaded, resolved in every dimension.
 
     Columns the fact does not take are dropped before the first shuffle.
     """
@@ -96,24 +101,27 @@ def load_fact(
     found = look_up_keys(new, star, limits)
     for key in FOREIGN_KEYS:
         found = found.where(F.col(key).isNotNull())
-    return as_fact(found, star.fact, load_ts)
+    filled = {"currency": F.coalesce("currency", F.lit("USD")), "dw_loaded_at": load_time(load_ts)}
+    return found.withColumns(filled).select(*model.FACT_COLUMNS[1:])
 
 
-def as_fact(found: DataFrame, existing: DataFrame | None = None, load_ts: dt.datetime | None = None) -> DataFrame:
-    """Fact layout with row keys after the greatest existing one.
+def number_fact(resolved: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Row keys after the greatest of ``existing``, dense, and a function of the set of transaction ids alone.
 
-    Row keys are unique but have gaps, and nothing joins on them: they are numbered within each
-    task, which costs no shuffle. They are settled once the rows are written, so ``existing`` has to
-    be a stored fact.
+    The rows are read twice, so store them first. A recomputed task gives its rows the same keys.
     """
-    start = F.lit(0) if existing is None else F.coalesce(existing.agg(F.max("transaction_sk")).scalar(), F.lit(0))
-    return found.withColumns(
-        {
-            "transaction_sk": start + F.monotonically_increasing_id() + 1,
-            "currency": F.coalesce("currency", F.lit("USD")),
-            "dw_loaded_at": load_time(load_ts),
-        }
-    ).select(*model.FACT_COLUMNS)
+    return assign_surrogate_keys(resolved, "transaction_id", "transaction_sk", existing).select(*model.FACT_COLUMNS)
+
+
+def load_fact(
+    stage: DataFrame,
+    star: Star,
+    load_ts: dt.datetime | None = None,
+    limits: Limits = LIMITS,
+    same_days_only: bool = False,
+) -> DataFrame:
+    """The fact rows a batch adds, with their row keys; ``star.fact`` has to be stored."""
+    return number_fact(resolve_fact(stage, star, load_ts, limits, same_days_only), star.fact)
 
 
 def unresolved_rows(stage: DataFrame, star: Star, limits: Limits = LIMITS, same_days_only: bool = False) -> DataFrame:

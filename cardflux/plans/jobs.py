@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from cardflux.model import LIMITS, Limits
-from cardflux.operators.dimensions import build_dim_date, build_dim_fraud_signal, upsert_dim_customer, upsert_dim_merchant
+from cardflux.operators.dimensions import FIRST_DATE, LAST_DATE, build_dim_date, build_dim_fraud_signal, upsert_dim_customer, upsert_dim_merchant
 from cardflux.operators.enrichment import enrich
-from cardflux.operators.star import Star, load_fact
+from cardflux.operators.star import Star, number_fact, resolve_fact, unresolved_rows
 from cardflux.operators.validation import enforce_schema, flag_rules, split_flagged, validation_counts
 from cardflux.sources.landing import read_landing
-from cardflux.sources.tables import by_day, read_stage, to_stage, write_curated, write_fact
+from cardflux.sources.scratch import scratch_folder
+from cardflux.sources.tables import read_fact, read_stage, skipped_files, to_stage, write_curated, write_fact, write_quarantine
 
 
 class NothingValid(ValueError):
@@ -31,13 +34,11 @@ def run_validation(
     # Fix "now" once, so that the later read of the valid side judges every row alike.
     now = now or dt.datetime.now(dt.timezone.utc)
     flagged = flag_rules(enforce_schema(raw), now, limits)
-    _, invalid = split_flagged(flagged.observe(counts, *validation_counts()))
-    by_day(invalid).write.mode("append").partitionBy("ingest_date").json(quarantine_path)
+    write_quarantine(split_flagged(flagged.observe(counts, *validation_counts()))[1], quarantine_path)
     measured = counts.get
     if not measured["passed"]:
         raise NothingValid("no record passed validation")
-    valid, _ = split_flagged(flagged)
-    return valid, measured
+    return split_flagged(flagged)[0], measured
 
 
 def run_batch(
@@ -50,16 +51,32 @@ def run_batch(
     history: DataFrame | None = None,
     limits: Limits = LIMITS,
 ) -> dict[str, int]:
-    """Landing files to curated rows: validate, enrich, append. Returns the counts of the batch."""
+    """Landing files to curated rows: validate, enrich, append. Returns the counts of the batch.
+
+    The valid rows are stored once: the features read them twice, and would read and judge the landing files each time.
+    """
     valid, counts = run_validation(read_landing(spark, input_path, fmt), quarantine_path, now, limits)
+    folder = scratch_folder(spark, "valid")
+    valid.write.parquet(folder)
+    valid = spark.read.schema(valid.schema).parquet(folder)
     written = write_curated(enrich(valid, history, limits), curated_path)
     return {**counts, "written": written}
 
 
-def _read_star(spark: SparkSession, folder: str, fact_path: str | None) -> Star:
-    names = ("dim_customer", "dim_merchant", "dim_date", "dim_fraud_signal")
-    dims = [spark.read.parquet(f"{folder}/{name}") for name in names]
-    return Star(*dims, fact=spark.read.parquet(fact_path) if fact_path else None)
+DIMENSIONS = ("dim_customer", "dim_merchant", "dim_date", "dim_fraud_signal")
+
+
+def _read_dimensions(spark: SparkSession, folder: str) -> Star:
+    return Star(*[spark.read.parquet(f"{folder}/{name}") for name in DIMENSIONS])
+
+
+def _calendar_span(stage: DataFrame, known: DataFrame | None) -> tuple[dt.date, dt.date]:
+    """From the earliest to the latest day of the default calendar, the old calendar and the batch."""
+    days = stage.select(F.col("ingest_date").alias("day"))
+    if known is not None:
+        days = days.union(known.select("full_date"))
+    first, last = days.agg(F.min("day"), F.max("day")).first()
+    return min(filter(None, (FIRST_DATE, first))), max(filter(None, (LAST_DATE, last)))
 
 
 def load_warehouse(
@@ -73,26 +90,46 @@ def load_warehouse(
     last_date: dt.date | None = None,
     limits: Limits = LIMITS,
     same_days_only: bool = False,
+    skip_unreadable: bool = False,
 ) -> Star:
     """Load one batch: dimensions first, then the fact.
 
     The dimensions are written whole to the folder ``new_version`` and read back, so the fact joins
     stored keys; ``old_version`` (the folder of the previous load) is never written to. Re-running a
-    load adds no fact row, because ids already in the fact are skipped.
+    load adds no fact row, also a first one, because ids that ``fact_path`` already holds are skipped; without
+    ``old_version``, a fact that holds rows must come from the same first batch.
+
+    The calendar spans the batch, unless ``first_date`` or ``last_date`` cut it. Nothing is lost without a
+    trace: rows without a dimension match are written to ``new_version``, too, and returned as ``unresolved``;
+    an unreadable file ends the load, or with ``skip_unreadable`` is reported in ``skipped``.
     """
-    stage = read_stage(spark, curated) if isinstance(curated, str) else to_stage(curated)
-    before = _read_star(spark, old_version, fact_path) if old_version else None
-    span = {key: value for key, value in (("first", first_date), ("last", last_date)) if value}
+    from_files = isinstance(curated, str)
+    stage = read_stage(spark, curated, skip_unreadable) if from_files else curated
+    if "event_time_ts" in stage.columns:
+        stage = to_stage(stage)
+    before = _read_dimensions(spark, old_version) if old_version else None
+    first, last = (first_date, last_date) if first_date and last_date else _calendar_span(stage, before.dates if before else None)
     dims = {
         "dim_customer": upsert_dim_customer(before.customers if before else None, stage, load_ts),
         "dim_merchant": upsert_dim_merchant(before.merchants if before else None, stage, load_ts),
-        "dim_date": build_dim_date(spark, **span),
+        "dim_date": build_dim_date(spark, first_date or first, last_date or last),
         "dim_fraud_signal": build_dim_fraud_signal(spark),
     }
     for name, frame in dims.items():
         frame.write.mode("overwrite").parquet(f"{new_version}/{name}")
-    star = _read_star(spark, new_version, None)
-    if before:
-        star = star.with_fact(before.fact)
-    write_fact(load_fact(stage, star, load_ts, limits, same_days_only), fact_path)
-    return _read_star(spark, new_version, fact_path)
+    star = _read_dimensions(spark, new_version)
+    loaded = read_fact(spark, fact_path)
+    star = star.with_fact(loaded) if loaded is not None else star
+    # Both follow from the fact as it was before the load, so they are written before the fact is.
+    unresolved_rows(stage, star, limits, same_days_only).write.mode("overwrite").parquet(f"{new_version}/unresolved")
+    resolve_fact(stage, star, load_ts, limits, same_days_only).write.mode("overwrite").parquet(f"{new_version}/resolved")
+    write_fact(number_fact(spark.read.parquet(f"{new_version}/resolved"), loaded), fact_path)
+    added = spark.read.parquet(f"{new_version}/resolved").groupBy("dw_loaded_at").agg(F.count(F.lit(1)).alias("rows"))
+    added.write.mode("overwrite").parquet(f"{new_version}/load_log")
+    return replace(
+        star,
+        fact=read_fact(spark, fact_path),
+        unresolved=spark.read.parquet(f"{new_version}/unresolved"),
+        skipped=skipped_files(spark, curated) if from_files and skip_unreadable else None,
+        loads=spark.read.parquet(f"{new_version}/load_log"),
+    )

@@ -170,7 +170,8 @@ def health_report(fact: DataFrame, flagged: DataFrame, parsed: DataFrame, as_of:
     """One row about the day ``as_of``: loads, latency, quarantine, violations and dead letters.
 
     ``flagged`` are rows with rule verdicts; ``parsed`` are topic records after parsing, with the
-    topic's ``timestamp``. Each input is cut to the day and reduced to one row on its own.
+    topic's ``timestamp``. Each input is cut to the day and reduced to one row on its own. A record whose
+    event time does not parse belongs to the day of its arrival.
     """
     day = as_of_date(as_of)
     loaded = fact.where(F.col("ingest_date") == day)
@@ -186,7 +187,8 @@ def health_report(fact: DataFrame, flagged: DataFrame, parsed: DataFrame, as_of:
         labels.ratio(F.sum("lag_s"), F.sum("timed"), 1).alias("load_latency_s"),
     )
     broken = sum((F.when(F.col(name), 0).otherwise(1) for name in RULE_NAMES[1:]), F.when(F.col(RULE_NAMES[0]), 0).otherwise(1))
-    quality = flagged.where(F.col("ingest_date") == day).agg(
+    checked_on = F.coalesce("ingest_date", F.to_date(F.try_to_timestamp("kafka_ingest_time")))
+    quality = flagged.where(checked_on == day).agg(
         F.coalesce(labels.ratio(F.count_if(~all_passed()) * 100, F.count(F.lit(1)), 2), F.lit(0.0)).alias("quarantine_rate_pct"),
         F.coalesce(F.sum(broken), F.lit(0)).alias("schema_violations_today"),
     )
@@ -199,11 +201,11 @@ def health_report(fact: DataFrame, flagged: DataFrame, parsed: DataFrame, as_of:
     )
 
 
-# Scorecard label, health column and the value above which it warns.
+# Label of a check, its health column and the value above which it warns.
 SCORECARD = [
-    ("Schema Violations Today", "schema_violations_today", 5.0),
-    ("DLQ Messages Today", "dlq_count_today", 5.0),
-    ("Quarantine Rate %", "quarantine_rate_pct", 1.0),
+    ("Failed rule checks", "schema_violations_today", 5.0),
+    ("Records that do not parse", "dlq_count_today", 5.0),
+    ("Share of rejected records in percent", "quarantine_rate_pct", 1.0),
 ]
 
 
@@ -216,12 +218,12 @@ def quality_scorecard(health: DataFrame) -> DataFrame:
     return health.select(F.inline(F.array(*lines))).withColumn("status", status)
 
 
-def load_freshness(fact: DataFrame, now: dt.datetime | None = None, fresh_minutes: int = 10) -> DataFrame:
-    """Whole minutes since the last load; green below the limit."""
+def load_freshness(loads: DataFrame, now: dt.datetime | None = None, fresh_minutes: int = 10) -> DataFrame:
+    """Whole minutes since the last load; green below the limit. ``loads`` is the load log, a row per load."""
     current = (F.current_timestamp() if now is None else F.lit(now.replace(tzinfo=now.tzinfo or dt.timezone.utc))).cast("timestamp_ntz")
     age = F.floor((F.unix_timestamp(current) - F.unix_timestamp("last_load")) / 60)
     return (
-        fact.agg(F.max("dw_loaded_at").alias("last_load"))
+        loads.agg(F.max("dw_loaded_at").alias("last_load"))
         .withColumn("age_minutes", age)
         .withColumn("status", F.when(F.col("age_minutes") < fresh_minutes, "green").otherwise("red"))
     )

@@ -9,7 +9,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from cardflux.model import RAW_SCHEMA
 
 CORRUPT = "_corrupt_record"
-_JSON_SCHEMA = StructType([*RAW_SCHEMA.fields, StructField(CORRUPT, StringType())])
+# All fields as text: a field of the wrong type is a violation of its record, not a record that does not parse.
+_JSON_SCHEMA = StructType([StructField(name, StringType()) for name in [*RAW_SCHEMA.fieldNames(), CORRUPT]])
 
 
 def read_landing(spark: SparkSession, path: str, fmt: str = "avro") -> DataFrame:
@@ -27,11 +28,15 @@ def read_json_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_topic_values(records: DataFrame, value: str = "value") -> DataFrame:
-    """Replace the JSON ``value`` of topic records (batch or stream) by the event's columns."""
+    """Replace the JSON ``value`` of topic records (batch or stream) by the event's columns.
+
+    A value that is not of its column's type becomes NULL, which the rules reject.
+    """
     options = {"columnNameOfCorruptRecord": CORRUPT}
     event = F.from_json(F.col(value).cast("string"), _JSON_SCHEMA, options)
     kept = [name for name in records.columns if name not in (value, *_JSON_SCHEMA.fieldNames())]
-    return records.withColumn("_event", event).select(*kept, "_event.*")
+    typed = [F.col(f"_event.{field.name}").try_cast(field.dataType).alias(field.name) for field in RAW_SCHEMA]
+    return records.withColumn("_event", event).select(*kept, *typed, f"_event.{CORRUPT}")
 
 
 def dead_letters(parsed: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ holds much of the batch over several tasks and packs small days together, so fil
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -61,12 +62,28 @@ def write_curated(enriched: DataFrame, path: str) -> int:
     return seen.get["rows"]
 
 
-def read_curated(spark: SparkSession, path: str) -> DataFrame:
-    """Columns are matched by name whatever their case; unreadable files are skipped."""
-    found = spark.read.schema(model.CURATED_SCHEMA).option("ignoreCorruptFiles", "true").parquet(path)
+def read_curated(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
+    """Columns are matched by name whatever their case.
+
+    An unreadable file ends the job, unless ``skip_unreadable``; see :func:`skipped_files` for what is then left out.
+    """
+    found = spark.read.schema(model.CURATED_SCHEMA).option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(path)
     return found.select(*model.CURATED_COLUMNS)
 
 
+def skipped_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length`` of the curated files that give no row when unreadable ones are skipped.
+
+    A file that breaks off in the middle is not among them if some of it was read.
+    """
+    given = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    found = spark.read.schema(model.CURATED_SCHEMA).option("ignoreCorruptFiles", "true").parquet(path)
+    # Both sides name a file by its decoded path without the scheme.
+    plain = lambda column: F.regexp_replace(F.url_decode(F.replace(column, F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/+", "/")
+    read = found.select(plain(F.col("_metadata.file_path")).alias("plain")).distinct()
+    return given.withColumn("plain", plain(F.col("path"))).join(read, "plain", "left_anti").select("path", "length")
+
+
 def to_stage(curated: DataFrame) -> DataFrame:
     """Narrow curated rows to warehouse types; ``event_time`` becomes the UTC wall clock."""
     return curated.withColumns(
@@ -78,8 +95,18 @@ def to_stage(curated: DataFrame) -> DataFrame:
     ).select(*model.STAGE_COLUMNS)
 
 
-def read_stage(spark: SparkSession, path: str) -> DataFrame:
-    return to_stage(read_curated(spark, path))
+def read_stage(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
+    return to_stage(read_curated(spark, path, skip_unreadable))
+
+
+def read_fact(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored fact with its declared schema, or None where nothing was written yet."""
+    try:
+        return spark.read.schema(model.FACT_SCHEMA).parquet(path).select(*model.FACT_COLUMNS)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def write_fact(fact: DataFrame, path: str) -> None:
@@ -90,7 +117,7 @@ def write_fact(fact: DataFrame, path: str) -> None:
     """
     (
         fact.repartitionByRange("ingest_date", "merchant_key", "transaction_id")
-        .sortWithinPartitions("ingest_date", "merchant_key")
+        .sortWithinPartitions("ingest_date", "merchant_key", "transaction_id")
         .write.mode("append")
         .partitionBy("ingest_date")
         .parquet(path)

@@ -66,7 +66,8 @@ def validate_stream(
     """Split a stream of raw events into valid rows (Parquet) and quarantined rows (JSON).
 
     Each micro-batch overwrites a folder of its own, so repeating one after a failure leaves no
-    duplicates. It is held while both sides are written; ``now`` defaults to the batch's start.
+    duplicates; the folder carries the query's id, which the checkpoint keeps, so a query with a new checkpoint
+    overwrites nothing. The batch is held while both sides are written; ``now`` defaults to its start.
     """
 
     def write_both(batch: DataFrame, batch_id: int) -> None:
@@ -74,8 +75,10 @@ def validate_stream(
         flagged = flag_rules(enforce_schema(batch), judged_at, limits).persist()
         try:
             valid, invalid = split_flagged(flagged)
-            by_day(valid).write.mode("overwrite").partitionBy("ingest_date").parquet(f"{valid_path}/batch_id={batch_id}")
-            by_day(invalid).write.mode("overwrite").partitionBy("ingest_date").json(f"{quarantine_path}/batch_id={batch_id}")
+            run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            folder = f"query_id={run}/batch_id={batch_id}"
+            by_day(valid).write.mode("overwrite").partitionBy("ingest_date").parquet(f"{valid_path}/{folder}")
+            by_day(invalid).write.mode("overwrite").partitionBy("ingest_date").json(f"{quarantine_path}/{folder}")
         finally:
             flagged.unpersist()
 

@@ -25,9 +25,7 @@ EVENTS_LAST_DAY = dt.date(2024, 1, 30)
 LINES_DATES = (dt.date(1995, 1, 1), dt.date(2001, 12, 31))
 LINES_AS_OF = dt.date(2001, 11, 5)
 
-EVENTS_PER_CUSTOMER = 3333
-CITIES = ["New York", "San Francisco", "Austin", "Seattle", "Chicago"]
-STATES = ["NY", "CA", "TX", "WA", "IL"]
+USERS_PER_CUSTOMER = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,13 +41,9 @@ def uuid_text(text: Column) -> Column:
     return F.concat_ws("-", *[F.substring(digest, start, length) for start, length in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-def customer_count(spark: SparkSession, sf_dir: str) -> int:
-    """Customers at this scale, so that traffic per customer stays the same (read from file footers)."""
-    return max(1, table(spark, sf_dir, "events").count() // EVENTS_PER_CUSTOMER)
-
-
-def events_as_raw(events: DataFrame, customers: int) -> DataFrame:
-    customer = F.pmod("user_id", F.lit(customers))
+def events_as_raw(events: DataFrame) -> DataFrame:
+    """Neighbouring users share a customer, so that each has dense traffic and no row depends on others."""
+    customer = F.floor(F.col("user_id") / USERS_PER_CUSTOMER)
     merchant = F.pmod("event_id", F.lit(37))
     arrival = F.expr("timestampadd(SECOND, CAST(event_id % 300 AS INT), ts)")
     kind = (
@@ -65,8 +59,8 @@ def events_as_raw(events: DataFrame, customers: int) -> DataFrame:
         "merchant_id": F.concat(F.lit("MER_"), merchant),
         "merchant_name": F.concat(F.lit("Merchant "), merchant),
         "merchant_category": pick([*model.MERCHANT_CATEGORIES, "pawn_shop"], merchant),
-        "city": pick(CITIES, merchant),
-        "state": pick(STATES, merchant),
+        "city": F.concat(F.lit("Town "), F.pmod(merchant, F.lit(5))),
+        "state": F.concat(F.lit("S"), F.pmod(merchant, F.lit(5))),
         "amount_usd": F.col("value"),
         "currency": F.lit("USD"),
         "account_type": pick(model.ACCOUNT_TYPES, customer),
@@ -81,7 +75,7 @@ def events_as_raw(events: DataFrame, customers: int) -> DataFrame:
 
 
 def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_as_raw(table(spark, sf_dir, "events"), customer_count(spark, sf_dir))
+    return events_as_raw(table(spark, sf_dir, "events"))
 
 
 def lineitem_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,13 +47,12 @@ _UUID = r"regexp_replace(md5({}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$',
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S+00:00')"
 
 CTES: dict[str, str] = {
-    "a_numbered": "SELECT *, user_id % (SELECT greatest(1, count(*) // 3333) FROM events) AS c, event_id % 37 AS m FROM events",
+    "a_numbered": "SELECT *, user_id // 50 AS c, event_id % 37 AS m FROM events",
     "a_raw": f"""
         SELECT {_UUID.format("CAST(event_id AS VARCHAR)")} AS transaction_id,
                'CUST_' || c AS customer_id, 'MER_' || m AS merchant_id, 'Merchant ' || m AS merchant_name,
                {_list([*model.MERCHANT_CATEGORIES, "pawn_shop"])}[m % 13 + 1] AS merchant_category,
-               ['New York', 'San Francisco', 'Austin', 'Seattle', 'Chicago'][m % 5 + 1] AS city,
-               ['NY', 'CA', 'TX', 'WA', 'IL'][m % 5 + 1] AS state,
+               'Town ' || m % 5 AS city, 'S' || m % 5 AS state,
                value AS amount_usd, 'USD' AS currency,
                {_list(model.ACCOUNT_TYPES)}[c % 3 + 1] AS account_type,
                CASE event_type WHEN 'purchase' THEN 'purchase' WHEN 'signup' THEN 'refund' WHEN 'view' THEN 'chargeback'
@@ -104,11 +103,13 @@ _LABEL = """risk_tier || CASE WHEN cross_merchant_flag THEN '_cross_merchant' EL
     || CASE WHEN is_international THEN '_intl' ELSE '' END || CASE WHEN high_velocity_flag THEN '_high_velocity' ELSE '' END"""
 _ATTRIBUTES = ", ".join(model.MERCHANT_ATTRIBUTES)
 
-for _p in ("a", "b"):
+CTES["h_raw"] = "SELECT * REPLACE (CASE WHEN zip_code = '00005' THEN 'unknown' ELSE event_time END AS event_time) FROM a_raw"
+
+for _p in ("a", "b", "h"):
     CTES |= {
         f"{_p}_typed": f"""
-            SELECT *, strptime(event_time, '%Y-%m-%dT%H:%M:%S+00:00') AS event_time_ts,
-                   CAST(strptime(event_time, '%Y-%m-%dT%H:%M:%S+00:00') AS DATE) AS ingest_date FROM {_p}_raw""",
+            SELECT *, try_strptime(event_time, '%Y-%m-%dT%H:%M:%S+00:00') AS event_time_ts,
+                   CAST(try_strptime(event_time, '%Y-%m-%dT%H:%M:%S+00:00') AS DATE) AS ingest_date FROM {_p}_raw""",
         f"{_p}_flagged": f"SELECT *, {_FLAGS} FROM {_p}_typed",
         f"{_p}_valid": f"SELECT * EXCLUDE ({', '.join(RULE_NAMES)}) FROM {_p}_flagged WHERE {_ALL}",
         f"{_p}_rolling": f"""
@@ -191,9 +192,9 @@ CTES |= {
                (SELECT {_half_up("sum(CAST(epoch(dw_loaded_at) - floor(epoch(event_time)) AS BIGINT))", "count(*)", 1)} FROM today) AS load_latency_s,
                (SELECT {_half_up(f"100 * count(*) FILTER (NOT ({_ALL}))", "count(*)", 2)} FROM checked) AS quarantine_rate_pct,
                (SELECT sum({" + ".join(f"CAST(NOT {name} AS BIGINT)" for name in RULE_NAMES)}) FROM checked) AS schema_violations_today,
-               (SELECT count(*) FROM a_raw WHERE city = 'Seattle' AND kafka_ingest_time LIKE '2024-01-30%') AS dlq_count_today""",
+               (SELECT count(*) FROM a_raw WHERE city = 'Town 3' AND kafka_ingest_time LIKE '2024-01-30%') AS dlq_count_today""",
     "today": "SELECT * FROM a_fact WHERE ingest_date = DATE '2024-01-30'",
-    "checked": "SELECT * FROM a_flagged WHERE ingest_date = DATE '2024-01-30'",
+    "checked": "SELECT * FROM h_flagged WHERE coalesce(ingest_date, CAST(left(kafka_ingest_time, 10) AS DATE)) = DATE '2024-01-30'",
 }
 
 
@@ -315,7 +316,37 @@ _QUERIES: dict[str, str] = {
     "load_star_unresolved": f"""SELECT transaction_id, customer_id, merchant_id, {_day("ingest_date")}, {_money("amount_usd")},
         'date_key' AS missing_keys FROM b_fact WHERE ingest_date > DATE '2000-06-30'""",
     "incremental_fact_load": f"""SELECT transaction_id, date_key, {_money("amount_usd")}, {_time("event_time")}, '2024-02-01 00:00:00' AS dw_loaded_at
-        FROM b_fact WHERE transaction_id NOT IN (SELECT transaction_id FROM b_stage WHERE ingest_date < {_SPLIT_DAY})""",
+        FROM a_fact WHERE transaction_id NOT IN (SELECT transaction_id FROM a_stage WHERE ingest_date < DATE '2024-01-16')""",
+    "warehouse_load_twice": f"SELECT {_FACT} FROM a_fact",
+    "warehouse_unresolved": """SELECT count(*) AS stage_rows, count(*) - count(DISTINCT transaction_id) AS duplicate_rows,
+        (SELECT count(*) FROM a_fact WHERE ingest_date <= DATE '2024-01-16') AS fact_rows,
+        (SELECT count(*) FROM a_fact WHERE ingest_date <= DATE '2024-01-16') AS greatest_key,
+        (SELECT count(*) FROM a_fact WHERE ingest_date <= DATE '2024-01-16') AS keys,
+        (SELECT count(*) FROM a_fact WHERE ingest_date > DATE '2024-01-16') AS unresolved_rows FROM a_stage""",
+    "batch_job": f"""SELECT {_day("ingest_date")}, count(*) AS rows, {_count("sum(txn_count_last_1h)", "txns_in_windows")},
+        {_count("sum(distinct_merchants_1h)", "merchants_in_windows")}, (SELECT count(*) FROM a_flagged) AS total,
+        (SELECT count(*) FROM a_valid) AS passed, (SELECT count(*) FROM a_flagged WHERE NOT ({_ALL})) AS quarantined,
+        (SELECT count(*) FROM a_valid) AS written FROM a_rolling GROUP BY ingest_date""",
+    "check_declared_unique": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) - count(DISTINCT {key}) AS repeated FROM {source}"
+        for name, key, source in (
+            ("dim_customer", "customer_id", "b_customers"),
+            ("dim_merchant", "merchant_id", "b_merchants"),
+            ("dim_date", "d", "(SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS d)"),
+            ("dim_fraud_signal", "i", "range(24) AS signals(i)"),
+            ("fact", "transaction_id", "b_fact"),
+        )
+    ),
+    "check_fact_not_null": " UNION ALL ".join(
+        f"SELECT '{name}' AS \"column\", count(*) FILTER ({source} IS NULL) AS nulls FROM b_fact"
+        for name, source in zip(model.FACT_REQUIRED, ("transaction_id", "customer_id", "merchant_id", "date_key", "signal_label", "amount_usd", "event_time"))
+    ),
+    "assign_surrogate_keys": """SELECT count(*) AS customers, CAST(1 AS BIGINT) AS least, count(*) AS greatest, count(*) AS keys
+        FROM (SELECT DISTINCT customer_id FROM b_stage)""",
+    "kafka_records": f"""SELECT customer_id AS key, transaction_id, merchant_category, event_time, zip_code, amount_usd,
+        concat_ws(',', {", ".join(f"CASE WHEN {name} IS NOT NULL THEN '{name}' END" for name in model.RAW_SCHEMA.fieldNames())}) AS field_order
+        FROM a_raw""",
+    "velocity_approx": f"SELECT {_VELOCITY}, TRUE AS within_one FROM a_rolling",
     "check_unique": "SELECT transaction_id, count(*) AS rows FROM b_stage GROUP BY transaction_id HAVING count(*) > 1",
     "check_not_null": " UNION ALL ".join(
         f"SELECT '{name}' AS \"column\", count(*) FILTER ({name} IS NULL) AS nulls FROM a_raw"
@@ -379,9 +410,9 @@ _QUERIES: dict[str, str] = {
     "health_report": f"""SELECT {_time("last_flush")}, records_last_batch, total_loaded_today, load_latency_s, quarantine_rate_pct,
         {_count("schema_violations_today", "schema_violations_today")}, dlq_count_today FROM a_health""",
     "quality_scorecard": """SELECT check_name, value, threshold, CASE WHEN value > threshold THEN 'WARN' ELSE 'OK' END AS status FROM (
-        SELECT 'Schema Violations Today' AS check_name, CAST(schema_violations_today AS DOUBLE) AS value, CAST(5 AS DOUBLE) AS threshold FROM a_health
-        UNION ALL SELECT 'DLQ Messages Today', CAST(dlq_count_today AS DOUBLE), 5 FROM a_health
-        UNION ALL SELECT 'Quarantine Rate %', quarantine_rate_pct, 1 FROM a_health)""",
+        SELECT 'Failed rule checks' AS check_name, CAST(schema_violations_today AS DOUBLE) AS value, CAST(5 AS DOUBLE) AS threshold FROM a_health
+        UNION ALL SELECT 'Records that do not parse', CAST(dlq_count_today AS DOUBLE), 5 FROM a_health
+        UNION ALL SELECT 'Share of rejected records in percent', quarantine_rate_pct, 1 FROM a_health)""",
     "load_freshness": f"""SELECT {_time("max(dw_loaded_at)", "last_load")}, CAST(7 AS BIGINT) AS age_minutes, 'green' AS status FROM a_fact""",
     # streaming results equal the batch results
     "stream_landing": f"SELECT {_RAW} FROM a_raw",

@@ -7,6 +7,7 @@ as doubles. Audit times are pinned so that results repeat.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from cardflux.operators.star import Star
 from cardflux.operators.validation import enforce_schema, flag_rules, rule_failures, split_flagged, validation_summary
 from cardflux.operators.velocity import add_velocity_features
 from cardflux.plans import panels, views
+from cardflux.plans.jobs import load_warehouse, run_batch
 from cardflux.session import use_utc
 from cardflux.sources import landing, tables
 from cardflux.sources.scratch import scratch_folder
@@ -30,6 +32,7 @@ from cardflux.workload import fixtures as fx
 SECOND_LOAD = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
 HISTORY_UNTIL = "2024-01-15 12:00:00"
 FIRST_BATCH_BEFORE = "1998-07-01"
+FIRST_EVENTS_BEFORE = dt.date(2024, 1, 16)
 KNOWN_DATES_BEFORE = dt.date(2000, 6, 30)
 VELOCITY_COLUMNS = ["txn_count_last_1h", "distinct_merchants_1h", "spend_velocity_24h", "cross_merchant_flag"]
 CURATED_KEYS = ["transaction_id", "customer_id", "merchant_id"]
@@ -94,14 +97,23 @@ def _lines_stage(spark, sf_dir):
 
 
 def _load(spark: SparkSession, stage: DataFrame, dates: tuple[dt.date, dt.date]) -> Star:
-    """The star after a first load of ``stage``."""
+    """The star after a first load of ``stage``, stored once: dimensions first, then the resolved rows.
+
+    Row keys are left out, as no view reads them; the loads by the job are queries of their own.
+    """
+    folder = scratch_folder(spark, "star")
+
+    def kept(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
+
     star = Star(
-        customers=dims.upsert_dim_customer(None, stage, fx.LOAD_TS),
-        merchants=dims.upsert_dim_merchant(None, stage, fx.LOAD_TS),
+        customers=kept(dims.upsert_dim_customer(None, stage, fx.LOAD_TS), "dim_customer"),
+        merchants=kept(dims.upsert_dim_merchant(None, stage, fx.LOAD_TS), "dim_merchant"),
         dates=dims.build_dim_date(spark, *dates),
         signals=dims.build_dim_fraud_signal(spark),
     )
-    return star.with_fact(star_ops.load_fact(stage, star, fx.LOAD_TS))
+    return star.with_fact(kept(star_ops.resolve_fact(stage, star, fx.LOAD_TS), "fact"))
 
 
 def _events_star(spark, sf_dir):
@@ -123,7 +135,9 @@ def _performance(spark, sf_dir):
 
 
 def _recent_performance(spark, sf_dir):
-    return panels.last_days(_performance(spark, sf_dir), fx.LINES_AS_OF, 30)
+    """The last 30 days; the panels on it use no rolling value, so only these days of the fact are read."""
+    since = fx.LINES_AS_OF - dt.timedelta(days=30)
+    return panels.last_days(views.merchant_daily_performance(_lines_star(spark, sf_dir), since), fx.LINES_AS_OF, 30)
 
 
 def _alerts(spark, sf_dir):
@@ -161,7 +175,11 @@ def parse_json_events(spark, sf_dir):
 
 
 def kafka_records(spark, sf_dir):
-    return landing.to_topic_records(fx.events_raw(spark, sf_dir))
+    """Keys, fields read back from the JSON, and the order in which the text names them."""
+    records = landing.to_topic_records(fx.events_raw(spark, sf_dir))
+    fields = [F.get_json_object("value", f"$.{name}").alias(name) for name in ("transaction_id", "merchant_category", "event_time", "zip_code")]
+    amount = F.get_json_object("value", "$.amount_usd").cast("double").alias("amount_usd")
+    return records.select("key", *fields, amount, F.array_join(F.json_object_keys("value"), ",").alias("field_order"))
 
 
 def quarantine_roundtrip(spark, sf_dir):
@@ -206,8 +224,12 @@ def velocity_features(spark, sf_dir):
 
 
 def velocity_approx(spark, sf_dir):
-    featured = add_velocity_features(_events_valid(spark, sf_dir), approx=True)
-    return featured.select("transaction_id", "customer_id", *VELOCITY_COLUMNS)
+    """The exact features, and whether the sketched number of merchants is off by one at most."""
+    valid = _events_valid(spark, sf_dir)
+    sketched = add_velocity_features(valid, approx=True).select("transaction_id", F.col("distinct_merchants_1h").alias("sketched"))
+    both = add_velocity_features(valid).join(sketched, "transaction_id")
+    close = F.abs(F.col("sketched") - F.col("distinct_merchants_1h")) <= 1
+    return both.select("transaction_id", "customer_id", *VELOCITY_COLUMNS, close.alias("within_one"))
 
 
 def velocity_with_history(spark, sf_dir):
@@ -288,8 +310,13 @@ def upsert_dim_customer(spark, sf_dir):
 
 
 def assign_surrogate_keys(spark, sf_dir):
+    """The keys given to all customers: as many as there are customers, from 1, without gaps or repeats."""
     names = _lines_stage(spark, sf_dir).select("customer_id").distinct()
-    return rows.assign_surrogate_keys(names, "customer_id", "customer_key")
+    keyed = rows.assign_surrogate_keys(names, "customer_id", "customer_key")
+    key = F.col("customer_key")
+    return keyed.agg(
+        F.count_distinct("customer_id").alias("customers"), F.min(key).alias("least"), F.max(key).alias("greatest"), F.count_distinct(key).alias("keys")
+    )
 
 
 def load_star_fact(spark, sf_dir):
@@ -300,20 +327,73 @@ def load_star_fact(spark, sf_dir):
 def load_star_unresolved(spark, sf_dir):
     """Rows left out when the calendar ends before the data does."""
     star = _load(spark, stage := _lines_stage(spark, sf_dir), (fx.LINES_DATES[0], KNOWN_DATES_BEFORE))
-    left_out = star_ops.unresolved_rows(stage, Star(star.customers, star.merchants, star.dates, star.signals))
+    left_out = star_ops.unresolved_rows(stage, star.with_fact(None))
     return left_out.select(*CURATED_KEYS, "ingest_date", "amount_usd", "missing_keys")
 
 
+def _loaded_twice(spark, first, second, again: str):
+    """Two loads into one fact; ``again`` names the dimensions that the second one starts from, if any."""
+    folder = scratch_folder(spark, "loads")
+    load_warehouse(spark, first, f"{folder}/fact", f"{folder}/v1", None, fx.LOAD_TS)
+    old = f"{folder}/{again}" if again else None
+    return load_warehouse(spark, second, f"{folder}/fact", f"{folder}/v2", old, SECOND_LOAD)
+
+
 def incremental_fact_load(spark, sf_dir):
-    """What a second load of all order lines adds to a fact that holds the earlier ones."""
-    stage = _lines_stage(spark, sf_dir)
-    first, _ = _two_batches(stage)
-    star = _load(spark, stage, fx.LINES_DATES)
-    star = star.with_fact(star_ops.load_fact(first, Star(star.customers, star.merchants, star.dates, star.signals), fx.LOAD_TS))
-    added = star_ops.load_fact(stage, star, SECOND_LOAD)
+    """What a second load of all events adds to a fact that holds the earlier ones."""
+    stage = _events_stage(spark, sf_dir)
+    first = stage.where(F.col("ingest_date") < F.lit(FIRST_EVENTS_BEFORE))
+    star = _loaded_twice(spark, first, stage, "v1")
+    added = star.fact.where(F.col("dw_loaded_at") == F.lit(SECOND_LOAD).cast("timestamp_ntz"))
     return added.select("transaction_id", "date_key", "amount_usd", "event_time", "dw_loaded_at")
 
 
+def warehouse_load_twice(spark, sf_dir):
+    """The fact after the same first load was run twice, as after a crash."""
+    stage = _events_stage(spark, sf_dir)
+    star = _loaded_twice(spark, stage, stage, "")
+    return _natural_fact(star.fact, star)
+
+
+def warehouse_unresolved(spark, sf_dir):
+    """Where every stage row went when the calendar ends too early: the counts add up, and the row keys are dense."""
+    stage, folder = _events_stage(spark, sf_dir), scratch_folder(spark, "loads")
+    star = load_warehouse(spark, stage, f"{folder}/fact", f"{folder}/v1", None, fx.LOAD_TS, fx.EVENTS_DATES[0], FIRST_EVENTS_BEFORE)
+    counts = [
+        stage.agg(F.count(F.lit(1)).alias("stage_rows"), (F.count(F.lit(1)) - F.count_distinct("transaction_id")).alias("duplicate_rows")),
+        star.fact.agg(F.count(F.lit(1)).alias("fact_rows"), F.max("transaction_sk").alias("greatest_key"), F.count_distinct("transaction_sk").alias("keys")),
+        star.unresolved.agg(F.count(F.lit(1)).alias("unresolved_rows")),
+    ]
+    return counts[0].join(counts[1]).join(counts[2])  # one row each
+
+
+def batch_job(spark, sf_dir):
+    """Landing files through the whole batch job: rows per day of the curated table, and the job's counts."""
+    folder = scratch_folder(spark, "batch")
+    fx.events_raw(spark, sf_dir).write.parquet(f"{folder}/landing")
+    counts = run_batch(spark, f"{folder}/landing", f"{folder}/curated", f"{folder}/quarantine", "parquet", fx.NOW)
+    days = tables.read_curated(spark, f"{folder}/curated").groupBy("ingest_date").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("txn_count_last_1h").alias("txns_in_windows"), F.sum("distinct_merchants_1h").alias("merchants_in_windows")
+    )
+    return days.withColumns({name: F.lit(counts[name]).cast("long") for name in ("total", "passed", "quarantined", "written")})
+
+
+def check_declared_unique(spark, sf_dir):
+    """Values that occur twice in a column that a warehouse table declares unique, per table."""
+    star = _lines_star(spark, sf_dir)
+    frames = {"dim_customer": star.customers, "dim_merchant": star.merchants, "dim_date": star.dates, "dim_fraud_signal": star.signals, "fact": star.fact}
+    reports = [
+        rows.duplicated_keys(frame, keys).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("repeated"))
+        for name, keys in model.DECLARED_UNIQUE.items()
+        for frame in (frames[name],)
+    ]
+    return functools.reduce(DataFrame.unionByName, reports)
+
+
+def check_fact_not_null(spark, sf_dir):
+    return rows.null_counts(_lines_star(spark, sf_dir).fact, model.FACT_REQUIRED)
+
+
 def check_unique(spark, sf_dir):
     return rows.duplicated_keys(_lines_stage(spark, sf_dir), ["transaction_id"])
 
@@ -333,23 +413,33 @@ def check_foreign_keys(spark, sf_dir):
 
 
 def _topic(spark, sf_dir):
-    """Topic records with their arrival time; those of Seattle arrive cut off on their way."""
+    """Topic records with their arrival time; those of one town arrive cut off on their way,
+    those of another with text for an amount."""
     records = landing.to_topic_records(fx.events_raw(spark, sf_dir))
     arrival = F.try_to_timestamp(F.get_json_object("value", "$.kafka_ingest_time"))
-    cut_off = F.get_json_object("value", "$.city") == "Seattle"
-    return records.withColumns(
-        {"timestamp": arrival, "value": F.when(cut_off, F.substring("value", 1, 40)).otherwise(F.col("value"))}
-    )
+    cut_off = F.get_json_object("value", "$.city") == "Town 3"
+    mistyped = F.regexp_replace("value", '"amount_usd":[^,]*', '"amount_usd":"none"')
+    value = F.when(cut_off, F.substring("value", 1, 40)).when(F.get_json_object("value", "$.city") == "Town 2", mistyped)
+    return records.withColumns({"timestamp": arrival, "value": value.otherwise(F.col("value"))})
 
 
 def _health(spark, sf_dir):
+    """With the event times of one merchant unreadable, so that only their arrival has a day."""
     parsed = landing.parse_topic_values(_topic(spark, sf_dir))
-    return panels.health_report(_events_star(spark, sf_dir).fact, _events_flagged(spark, sf_dir), parsed, fx.EVENTS_LAST_DAY)
+    broken = F.when(F.col("zip_code") == "00005", "unknown").otherwise(F.col("event_time"))
+    flagged = _flag(fx.events_raw(spark, sf_dir).withColumn("event_time", broken))
+    return panels.health_report(_events_star(spark, sf_dir).fact, flagged, parsed, fx.EVENTS_LAST_DAY)
+
+
+def _logged(spark, sf_dir):
+    """The load log after one load of the events by the job."""
+    folder = scratch_folder(spark, "loads")
+    return load_warehouse(spark, _events_stage(spark, sf_dir), f"{folder}/fact", f"{folder}/v1", None, fx.LOAD_TS).loads
 
 
 def load_freshness(spark, sf_dir):
     now = fx.LOAD_TS + dt.timedelta(minutes=7, seconds=30)
-    return panels.load_freshness(_events_star(spark, sf_dir).fact, now)
+    return panels.load_freshness(_logged(spark, sf_dir), now)
 
 
 # -- streaming --------------------------------------------------------------
@@ -364,7 +454,7 @@ def stage_curated(spark, sf_dir):
 def _event_stream(spark, sf_dir):
     schema = fx.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return fx.events_as_raw(events, fx.customer_count(spark, sf_dir))
+    return fx.events_as_raw(events)
 
 
 def stream_landing(spark, sf_dir):
@@ -421,6 +511,11 @@ QUERIES = {
     "load_star_fact": load_star_fact,
     "load_star_unresolved": load_star_unresolved,
     "incremental_fact_load": incremental_fact_load,
+    "warehouse_load_twice": warehouse_load_twice,
+    "warehouse_unresolved": warehouse_unresolved,
+    "batch_job": batch_job,
+    "check_declared_unique": check_declared_unique,
+    "check_fact_not_null": check_fact_not_null,
     "check_unique": check_unique,
     "check_not_null": check_not_null,
     "check_foreign_keys": check_foreign_keys,

@@ -1,4 +1,5 @@
 import os
+import re
 from pathlib import Path
 
 import duckdb
@@ -7,13 +8,13 @@ import pytest
 import __spark_entry__ as entry_point
 
 TABLES = "/root/testdata/sf0.001"
-ROWS_ONLY = {"assign_surrogate_keys", "kafka_records", "velocity_approx"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="test tables are not here")
 
 
 def test_every_query_has_sql_unless_rows_only():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == ROWS_ONLY
+    # Only operators for text corpora, where they are present, go without.
+    assert not {name for name in set(entry_point.queries()) - set(entry_point.oracle_sql()) if not re.match(r"op\d+_|pipeline$", name)}
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
@@ -23,7 +24,7 @@ def test_entry(spark):
     assert "spend_velocity_24h" in result.columns
 
 
-@pytest.mark.parametrize("name", ["velocity_with_history", "load_star_fact", "customer_spend_profile"])
+@pytest.mark.parametrize("name", ["velocity_with_history", "warehouse_load_twice", "customer_spend_profile"])
 def test_sql_gives_the_same_rows(spark, name):
     connection = duckdb.connect()
     for file in Path(TABLES).glob("*.parquet"):

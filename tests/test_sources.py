@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from cardflux import model
@@ -11,7 +12,7 @@ from cardflux.plans import jobs, panels
 from cardflux.sources import landing, tables
 from cardflux.sources.scratch import scratch_folder
 from cardflux.streaming.flows import land_topic, validate_stream
-from tests.conftest import BASE, LOAD, NOW, record, uuid
+from tests.conftest import LOAD, NOW, PLAIN, record, uuid
 
 
 def test_landing_has_the_declared_schema(spark, raw, tmp_path):
@@ -20,7 +21,7 @@ def test_landing_has_the_declared_schema(spark, raw, tmp_path):
 
 
 def test_json_lines_keep_what_does_not_parse(spark, tmp_path):
-    (tmp_path / "e.json").write_text(json.dumps(BASE) + "\n{broken\n" + json.dumps({**BASE, "zip_code": None}) + "\n")
+    (tmp_path / "e.json").write_text(json.dumps(PLAIN) + "\n{broken\n" + json.dumps({**PLAIN, "zip_code": None}) + "\n")
     parsed = landing.read_json_events(spark, str(tmp_path))
     assert parsed.where("_corrupt_record IS NULL").count() == 2
     assert [r["_corrupt_record"] for r in landing.dead_letters(parsed).collect()] == ["{broken"]
@@ -30,8 +31,8 @@ def test_topic_records_round_trip(spark, raw):
     events = raw(record(), record(is_international=None, amount_usd=0.1))
     records = landing.to_topic_records(events)
     assert records.columns == ["key", "value"]
-    assert {r["key"] for r in records.collect()} == {"CUST_ABC123"}
-    assert json.loads(records.first()["value"]) == BASE
+    assert {r["key"] for r in records.collect()} == {"C-0042"}
+    assert json.loads(records.first()["value"]) == PLAIN
     back = landing.parse_topic_values(records.select("value"))
     assert sorted(map(str, back.select(*events.columns).collect())) == sorted(map(str, events.collect()))
     assert landing.dead_letters(back).count() == 0
@@ -45,14 +46,14 @@ def test_iso_text(spark):
 
 
 def test_quarantine_appends_by_day(spark, raw, tmp_path):
-    bad = raw(record(amount_usd=-1.0), record(event_time="nope"), record(channel="fax", event_time="2025-04-13T00:00:00+00:00"))
+    bad = raw(record(amount_usd=-1.0), record(event_time="nope"), record(channel="fax", event_time="2025-02-13T00:00:00+00:00"))
     _, invalid = split_flagged(flag_rules(enforce_schema(bad), NOW))
     path = str(tmp_path / "q")
     assert tables.write_quarantine(invalid, path) == 3
     assert tables.write_quarantine(invalid.limit(0), path) == 0
     back = tables.read_quarantine(spark, path, invalid.schema)
     assert back.count() == 3
-    assert {str(r[0]) for r in back.select("ingest_date").collect()} == {"2025-04-12", "2025-04-13", "None"}
+    assert {str(r[0]) for r in back.select("ingest_date").collect()} == {"2025-02-12", "2025-02-13", "None"}
 
 
 def test_curated_round_trip_matches_names_in_any_case(spark, raw, tmp_path):
@@ -66,10 +67,20 @@ def test_curated_round_trip_matches_names_in_any_case(spark, raw, tmp_path):
     assert sorted(tables.read_curated(spark, upper).collect()) == sorted(enriched.collect())
 
 
-def test_unreadable_stage_files_are_skipped(spark, raw, tmp_path):
+def test_unreadable_files_end_the_read_or_are_reported(spark, raw, tmp_path):
     enrich(enforce_schema(raw(record()))).write.parquet(str(tmp_path / "s"))
     (tmp_path / "s" / "part-broken.parquet").write_bytes(b"not parquet at all")
-    assert tables.read_stage(spark, str(tmp_path / "s")).count() == 1
+    with pytest.raises(Exception, match="part-broken"):
+        tables.read_stage(spark, str(tmp_path / "s")).count()
+    assert tables.read_stage(spark, str(tmp_path / "s"), skip_unreadable=True).count() == 1
+    skipped = tables.skipped_files(spark, str(tmp_path / "s")).collect()
+    assert [(row["path"].rsplit("/", 1)[-1], row["length"]) for row in skipped] == [("part-broken.parquet", 18)]
+
+
+def test_a_mistyped_field_is_no_dead_letter(spark):
+    records = spark.createDataFrame([('{"transaction_id":"t","amount_usd":"abc","is_international":"maybe"}',), ('{"amount_usd":1.5}',), ("{",)], "value string")
+    parsed = landing.parse_topic_values(records).collect()
+    assert [(row["amount_usd"], row["is_international"], row["_corrupt_record"]) for row in parsed] == [(None, None, None), (1.5, None, None), (None, None, "{")]
 
 
 def test_curated_table(spark, raw):
@@ -80,7 +91,7 @@ def test_curated_table(spark, raw):
     stored = spark.table("curated_t")
     assert set(stored.columns) == set(model.CURATED_COLUMNS)
     assert stored.count() == 2
-    assert stored.where(F.col("ingest_date") == dt.date(2025, 4, 12)).count() == 2
+    assert stored.where(F.col("ingest_date") == dt.date(2025, 2, 12)).count() == 2
     spark.sql("DROP TABLE curated_t")
 
 
@@ -126,31 +137,32 @@ def test_stream_equals_batch(spark, raw, tmp_path):
 
 
 def test_stream_landing(spark, raw, tmp_path):
-    landing.to_topic_records(raw(record(), record(event_time="2025-04-12T15:00:00+00:00"), record(event_time="?"))).write.parquet(str(tmp_path / "in"))
+    landing.to_topic_records(raw(record(), record(event_time="2025-02-12T15:00:00+00:00"), record(event_time="?"))).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, value string").parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
     land_topic(stream, out, str(tmp_path / "state"), "parquet", None).awaitTermination()
     assert landing.read_landing(spark, out, "parquet").count() == 3
-    assert (tmp_path / "out" / "event_date=2025-04-12" / "event_hour=15").is_dir()
+    assert (tmp_path / "out" / "event_date=2025-02-12" / "event_hour=15").is_dir()
 
 
 def test_health_panel(spark, raw):
-    events = raw(record(transaction_id=uuid(1)), record(transaction_id=uuid(2), channel="fax"), record(transaction_id=uuid(3), amount_usd=None))
+    events = raw(record(transaction_id=uuid(1)), record(transaction_id=uuid(2), channel="fax"), record(transaction_id=uuid(3), amount_usd=None),
+                 record(transaction_id=uuid(4), event_time="?"))
     flagged = flag_rules(enforce_schema(events), NOW)
     fact = spark.createDataFrame(
-        [(dt.datetime(2025, 4, 12, 15), dt.datetime(2025, 4, 12, 14, 59), dt.date(2025, 4, 12)),
-         (dt.datetime(2025, 4, 12, 16), dt.datetime(2025, 4, 12, 15, 58), dt.date(2025, 4, 12)),
-         (dt.datetime(2025, 4, 12, 16), dt.datetime(2025, 4, 12, 15, 58), dt.date(2025, 4, 12)),
-         (dt.datetime(2025, 4, 13, 16), dt.datetime(2025, 4, 13, 1), dt.date(2025, 4, 13))],
+        [(dt.datetime(2025, 2, 12, 15), dt.datetime(2025, 2, 12, 14, 59), dt.date(2025, 2, 12)),
+         (dt.datetime(2025, 2, 12, 16), dt.datetime(2025, 2, 12, 15, 58), dt.date(2025, 2, 12)),
+         (dt.datetime(2025, 2, 12, 16), dt.datetime(2025, 2, 12, 15, 58), dt.date(2025, 2, 12)),
+         (dt.datetime(2025, 2, 13, 16), dt.datetime(2025, 2, 13, 1), dt.date(2025, 2, 13))],
         "dw_loaded_at timestamp_ntz, event_time timestamp_ntz, ingest_date date",
     )
-    topic = spark.createDataFrame([("{", NOW.replace(year=2025, month=4, day=12)), ("{", NOW)], "value string, timestamp timestamp")
-    health = panels.health_report(fact, flagged, landing.parse_topic_values(topic), dt.date(2025, 4, 12))
+    topic = spark.createDataFrame([("{", NOW.replace(year=2025, month=2, day=12)), ("{", NOW)], "value string, timestamp timestamp")
+    health = panels.health_report(fact, flagged, landing.parse_topic_values(topic), dt.date(2025, 2, 12))
     assert health.first().asDict() == {
-        "last_flush": dt.datetime(2025, 4, 12, 16), "records_last_batch": 2, "total_loaded_today": 3, "load_latency_s": 100.0,
-        "quarantine_rate_pct": 66.67, "schema_violations_today": 3, "dlq_count_today": 1,
+        "last_flush": dt.datetime(2025, 2, 12, 16), "records_last_batch": 2, "total_loaded_today": 3, "load_latency_s": 100.0,
+        "quarantine_rate_pct": 75.0, "schema_violations_today": 4, "dlq_count_today": 1,
     }
     card = {r["check_name"]: r["status"] for r in panels.quality_scorecard(health).collect()}
-    assert card == {"Schema Violations Today": "OK", "DLQ Messages Today": "OK", "Quarantine Rate %": "WARN"}
+    assert card == {"Failed rule checks": "OK", "Records that do not parse": "OK", "Share of rejected records in percent": "WARN"}
     quiet = panels.health_report(fact, flagged, landing.parse_topic_values(topic), dt.date(2030, 1, 1)).first()
     assert (quiet["total_loaded_today"], quiet["quarantine_rate_pct"], quiet["dlq_count_today"]) == (0, 0.0, 0)
