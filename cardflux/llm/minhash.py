@@ -195,10 +195,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
     centres = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node", "n")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     rayed = stored(weighed.drop("weight").join(centres, "bucket"), "stars")
 
-    wanted = stored(members.select("node").distinct().join(nodes.where("doc_id is not null").select("node", "doc_id"), "node"), "candidates")
-    sets = stored(_node_sets(docs, wanted, size).dropDuplicates(["node"]), "sets")
     near_in_size = 100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")
-    first = rayed.where("node <> hub").where(near_in_size).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    first = rayed.where("node <> hub").where(near_in_size).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    first = stored(first.distinct(), "star-edges")
+    # Full sets are fetched for nodes with an edge, and for members of buckets in which others than the centre can meet.
+    compared = first.select(F.col("a").alias("node")).union(first.select("b")).union(rayed.where("n_members > 2").select("node")).distinct()
+    wanted = stored(compared.join(nodes.where("doc_id is not null").select("node", "doc_id"), "node"), "candidates")
+    sets = stored(_node_sets(docs, wanted, size).dropDuplicates(["node"]), "sets")
     links = stored(_confirmed(first, sets, threshold), "links")
     roots = stored(components(links), "roots")
     # Two members of a bucket have met if one is its centre; others, in a bucket of three or more, have not yet.
