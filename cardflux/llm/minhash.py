@@ -185,10 +185,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     signed = stored(signatures(docs, size, bands, rows), "signatures")
     nodes = stored(signed.where("node is not null").groupBy("node", "n_shingles").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    # One row with signatures per node; rows of the same document and set are alike.
-    one_each = signed.select("doc_id", "node", "bands").join(nodes.select("doc_id", "node", "n_shingles"), ["doc_id", "node"]).dropDuplicates(["node"])
+    # One row with signatures per node; only rows of the same document and set repeat here.
+    one_each = signed.select("doc_id", "node", "bands").join(nodes.select("doc_id", "node", "n_shingles"), ["doc_id", "node"])
     buckets = one_each.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").cast("int").alias("n"))
-    met = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_members")).where("n_members > 1")
+    met = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_members"), F.min("node").alias("x"), F.max("node").alias("y"))
+    met = met.where("x <> y").drop("x", "y")
     members = stored(buckets.join(met, "bucket"), "buckets")
     weights = members.groupBy("node").agg(F.sum("n_members").alias("weight"))
     weighed = stored(members.join(weights, "node"), "weighed-buckets")
@@ -201,7 +202,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
     # Full sets are fetched for nodes with an edge, and for members of buckets in which others than the centre can meet.
     compared = first.select(F.col("a").alias("node")).union(first.select("b")).union(rayed.where("n_members > 2").select("node")).distinct()
     wanted = stored(compared.join(nodes.where("doc_id is not null").select("node", "doc_id"), "node"), "candidates")
-    sets = stored(_node_sets(docs, wanted, size).dropDuplicates(["node"]), "sets")
+    sets = stored(_node_sets(docs, wanted, size), "sets")
     links = stored(_confirmed(first, sets, threshold), "links")
     roots = stored(components(links), "roots")
     # Two members of a bucket have met if one is its centre; others, in a bucket of three or more, have not yet.
