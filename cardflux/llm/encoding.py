@@ -16,7 +16,7 @@ import pyarrow as pa
 from cardflux.llm.textbytes import SPACES, Ranges, split_ranges
 
 #: Units a worker remembers before it starts afresh, which bounds its memory.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_000_000
 SUSPECT = np.zeros(256, bool)
 SUSPECT[[*range(0x1C, 0x20), 0x3C, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 WHOLE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|<\\|")

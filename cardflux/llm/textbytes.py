@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -64,14 +64,16 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         texts = batch.column(batch.schema.get_field_index(column))
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+        sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
         row = 0
         while row < len(texts):
-            end = int(np.searchsorted(bounds, bounds[row] + limit, "right")) - 1
+            end = int(np.searchsorted(sizes, sizes[row] + limit, "right")) - 1
             end = min(max(end, row + 1), len(texts))
-            yield batch.slice(row, end - row), data[bounds[row] : bounds[end]], bounds[row : end + 1] - bounds[row]
+            # Only a slice at a time is converted, so that a batch is not held twice.
+            part = pc.fill_null(texts.slice(row, end - row).cast(pa.large_string()), "")
+            bounds = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+            data = np.frombuffer(part.buffers()[2], np.uint8) if part.buffers()[2] is not None else np.zeros(0, np.uint8)
+            yield batch.slice(row, end - row), data[bounds[0] : bounds[-1]], bounds - bounds[0]
             row = end
 
 
