@@ -134,3 +134,27 @@ def test_empty_tables(table_of):
     assert minhash.near_duplicates(empty).count() == 0
     assert run_index.without_repeats(empty).count() == 0
     assert passages.passages(empty).count() == 0 and passages.without_repeats(empty).count() == 0
+
+
+def test_copies_meet_beside_a_frequent_line(table_of, monkeypatch):
+    """Pairs of copies that share a line of 30 words with all other documents are found, though their hubs are unrelated."""
+    monkeypatch.setattr(passages, "BLOCK", 4)
+    line = words(30, 30)
+    pairs = []
+    for n in range(30):
+        body = words(100 + n, 11) + line + words(200 + n, 11)
+        pairs += [(1000 + 2 * n + k, " ".join(words(300 + 2 * n + k, 60) + body + words(500 + 2 * n + k, 60))) for k in (0, 1)]
+    found = passages.passages(table_of(pairs)).collect()
+    met = {frozenset((r["doc_id"], r["first_doc_id"])) for r in found if not r["kept"]}
+    assert met == {frozenset((1000 + 2 * n, 1001 + 2 * n)) for n in range(30)}
+
+
+def test_joint_windows_hold_each_pair_of_least_tokens():
+    draw = np.random.default_rng(4)
+    sides = [draw.permutation(150).astype(np.uint64) for _ in range(2)]
+    starts, ends = np.zeros(150, np.int64), np.full(150, 150)
+    first, second = (tuple(np.array(x) for x in passages.compact_windows(v, ends, starts, 30)) for v in sides)
+    a, b = passages.joint_windows(first, second, 30)
+    got = sorted(zip(first[1][a].tolist(), second[1][b].tolist()))
+    runs = [(i, j) for i in range(150) for j in range(i + 30, 151)]
+    assert got == sorted({(i + int(sides[0][i:j].argmin()), i + int(sides[1][i:j].argmin())) for i, j in runs})
