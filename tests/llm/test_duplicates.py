@@ -170,3 +170,19 @@ def test_edited_passages_share_a_pair_of_least_tokens(table_of):
     found = passages.near_duplicate_passages(table_of(pairs)).select("hub_doc_id").collect()
     assert len(alike) > 990
     assert len(alike - {r["hub_doc_id"] // 2 for r in found}) <= 1
+
+
+def test_long_copies_that_drift_apart_are_cut(table_of):
+    """2,000 words against the same with ten others after each hundred."""
+    base = words(40, 2000)
+    drifted = [w for n in range(20) for w in (*base[100 * n : 100 * n + 100], *words(50 + n, 10))]
+    found = passages.passages(table_of([(1, " ".join(base)), (2, " ".join(drifted))])).where("not kept").collect()
+    (doc_id,) = {r["doc_id"] for r in found}
+    gone = {i for r in found for i in range(r["start_word"], r["start_word"] + r["n_words"])}
+    period = 100 if doc_id == 1 else 110
+    wanted = {period * n + i for n in range(20) for i in range(100)}
+    assert wanted <= gone
+
+    # Each section comes a second time in the range, and the second places lie on the diagonal.
+    own = np.concatenate([np.arange(200), np.arange(100), np.arange(200, 300)]).astype("<u4")
+    assert [m[:4] for m in passages.matching_passages(own, own, None, 0)] == [(0, 399, 0, 399)]
