@@ -149,19 +149,8 @@ def test_copies_meet_beside_a_frequent_line(table_of, monkeypatch):
     assert met == {frozenset((1000 + 2 * n, 1001 + 2 * n)) for n in range(30)}
 
 
-def test_joint_windows_hold_each_pair_of_least_tokens():
-    draw = np.random.default_rng(4)
-    sides = [draw.permutation(150).astype(np.uint64) for _ in range(2)]
-    starts, ends = np.zeros(150, np.int64), np.full(150, 150)
-    first, second = (tuple(np.array(x) for x in passages.compact_windows(v, ends, starts, 30)) for v in sides)
-    a, b = passages.joint_windows(first, second, 30)
-    got = sorted(zip(first[1][a].tolist(), second[1][b].tolist()))
-    runs = [(i, j) for i in range(150) for j in range(i + 30, 151)]
-    assert got == sorted({(i + int(sides[0][i:j].argmin()), i + int(sides[1][i:j].argmin())) for i, j in runs})
-
-
-def test_edited_passages_share_a_pair_of_least_tokens(table_of):
-    """Pairs of 50 words with two changed in the middle: similarity 40/52, found but for 2e-5 of them."""
+def test_edited_passages_share_a_least_token(table_of):
+    """Pairs of 50 words with two changed in the middle: similarity 40/52, found but for 1e-5 of them."""
     pairs = []
     for n in range(1000):
         body = words(10_000 + n, 50)
