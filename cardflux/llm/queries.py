@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardflux.llm import binary_ids, minhash, packing, passages, pieces, postings, quality_rules, resampling, run_index, toxicity
+from cardflux.llm import binary_ids, minhash, packing, passages, pieces, postings, quality_rules, resampling, run_index, simhash, toxicity
 from cardflux.llm.shipping import ship
 from cardflux.llm.store import table
 from cardflux.sources.scratch import scratch_folder
@@ -54,6 +54,10 @@ def op10_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"))))
 
 
+def op12_segment_popcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_hilbert_packing": op2_hilbert_packing,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_orc_token_ids": op8_orc_token_ids,
     "op9_run_length_index": op9_run_length_index,
     "op10_sentencepiece_viterbi": op10_sentencepiece_viterbi,
+    "op12_segment_popcounts": op12_segment_popcounts,
 }
 
 
