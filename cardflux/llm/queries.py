@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardflux.llm import binary_ids, minhash, packing, passages, pieces, postings, quality_rules, resampling, run_index, simhash, toxicity
+from cardflux.llm import binary_ids, conversations, minhash, negatives, packing, passages, pieces, postings, quality_rules, resampling, run_index, simhash, toxicity
 from cardflux.llm.shipping import ship
 from cardflux.llm.store import table
 from cardflux.sources.scratch import scratch_folder
@@ -54,10 +54,18 @@ def op10_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"))))
 
 
+def op11_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op12_segment_popcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_one_bit_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_hilbert_packing": op2_hilbert_packing,
@@ -69,7 +77,9 @@ QUERIES = {
     "op8_orc_token_ids": op8_orc_token_ids,
     "op9_run_length_index": op9_run_length_index,
     "op10_sentencepiece_viterbi": op10_sentencepiece_viterbi,
+    "op11_auction_repair": op11_auction_repair,
     "op12_segment_popcounts": op12_segment_popcounts,
+    "op13_one_bit_negatives": op13_one_bit_negatives,
 }
 
 
@@ -82,4 +92,4 @@ def registered():
 
 def statements() -> dict[str, str]:
     """SQL counterparts, where SQL can express the query."""
-    return {}
+    return {"op13_one_bit_negatives": negatives.SQL}
