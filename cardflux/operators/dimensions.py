@@ -11,6 +11,7 @@ from cardflux import model
 from cardflux.functions.calendar import date_key, load_time
 from cardflux.functions.labels import signal_label
 from cardflux.operators.rows import assign_surrogate_keys, latest_per_key
+from cardflux.sources.scratch import scratch_folder
 
 FIRST_DATE = dt.date(2020, 1, 1)
 LAST_DATE = dt.date(2030, 12, 31)
@@ -86,26 +87,32 @@ def upsert_type1(
 
     Known keys keep their surrogate key and creation time and take the source's attributes; unknown
     keys are inserted with new surrogate keys. ``source`` has one row per natural key.
+
+    One full outer join runs source and dimension once, and its rows are stored by what happened to them. Only the new ones are
+    numbered, which takes two reads of them but none of the source.
     """
     now = load_time(load_ts)
     layout = [surrogate_key, natural_key, *attributes, "dw_created_at", "dw_updated_at"]
+    update = source.select(natural_key, F.struct(*attributes).alias("_update"))
     if current is None:
-        new = source
+        merged = update.select(F.lit("new").alias("_change"), natural_key, "_update.*")
     else:
-        new = source.join(current.select(natural_key), natural_key, "left_anti")
-    inserted = (
-        assign_surrogate_keys(new.select(natural_key, *attributes), natural_key, surrogate_key, current)
-        .withColumns({"dw_created_at": now, "dw_updated_at": now})
-        .select(*layout)
-    )
-    if current is None:
-        return inserted
-    update = source.select(natural_key, F.struct(*attributes).alias("_update"))
-    kept = current.join(update, natural_key, "left")
-    hit = F.col("_update").isNotNull()
-    overwritten = {name: F.when(hit, F.col(f"_update.{name}")).otherwise(F.col(name)) for name in attributes}
-    overwritten["dw_updated_at"] = F.when(hit, now).otherwise(F.col("dw_updated_at"))
-    return kept.withColumns(overwritten).select(*layout).unionByName(inserted)
+        known, hit = F.col(surrogate_key).isNotNull(), F.col("_update").isNotNull()
+        merged = current.join(update, natural_key, "full").select(
+            F.when(~known, "new").when(hit, "updated").otherwise("kept").alias("_change"),
+            surrogate_key,
+            natural_key,
+            *[F.when(hit, F.col(f"_update.{name}")).otherwise(F.col(name)).alias(name) for name in attributes],
+            "dw_created_at",
+            F.when(hit & known, now).otherwise(F.col("dw_updated_at")).alias("dw_updated_at"),
+        )
+    folder = scratch_folder(source.sparkSession, f"merged-{surrogate_key}")
+    merged.write.partitionBy("_change").parquet(folder)
+    kept = source.sparkSession.read.schema(merged.schema).parquet(folder)
+    new = kept.where("_change = 'new'").select(natural_key, *attributes)
+    old = None if current is None else kept.where("_change <> 'new'").select(*layout)
+    inserted = assign_surrogate_keys(new, natural_key, surrogate_key, old).withColumns({"dw_created_at": now, "dw_updated_at": now}).select(*layout)
+    return inserted if old is None else old.unionByName(inserted)
 
 
 def upsert_dim_merchant(current: DataFrame | None, stage: DataFrame, load_ts: dt.datetime | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardflux import model
@@ -35,7 +35,7 @@ class Star:
     #: What loads left out: rows without a dimension match, and files that could not be read.
     unresolved: DataFrame | None = None
     skipped: DataFrame | None = None
-    #: One row per load: its time, its rows and the greatest row key after it.
+    #: The ledger: one row per load with its time, its rows (also none), and the greatest row key after it.
     loads: DataFrame | None = None
 
     def with_fact(self, fact: DataFrame) -> "Star":
@@ -65,6 +65,17 @@ def not_yet_loaded(stage: DataFrame, fact: DataFrame | None, same_days_only: boo
     return stage.join(seen, "transaction_id", "left_anti")
 
 
+def not_indexed(new: DataFrame, ids: DataFrame, buckets: int, days_of: DataFrame | None = None) -> DataFrame:
+    """Rows, one per transaction id, that the id index does not hold; the index is read in its buckets and not shuffled.
+
+    ``days_of`` limits the ids to the days from the first to the last of that frame, as ``same_days_only`` of :func:`not_yet_loaded` does.
+    """
+    if days_of is not None:
+        span = days_of.agg(F.struct(F.min("ingest_date").alias("first"), F.max("ingest_date").alias("last"))).scalar()
+        ids = ids.where(F.col("ingest_date").between(span.getField("first"), span.getField("last")))
+    return new.repartition(buckets, "transaction_id").join(ids.select("transaction_id").hint("merge"), "transaction_id", "left_anti")
+
+
 def look_up_keys(stage: DataFrame, star: Star, limits: Limits = LIMITS) -> DataFrame:
     """Stage rows with the four surrogate keys, NULL where a dimension has no match.
 
@@ -86,6 +97,16 @@ def look_up_keys(stage: DataFrame, star: Star, limits: Limits = LIMITS) -> DataF
     )
 
 
+def missing_keys() -> Column:
+    """Names of the dimensions without a match, empty if there is a row in each."""
+    return F.concat_ws(",", *[F.when(F.col(key).isNull(), F.lit(key)) for key in FOREIGN_KEYS])
+
+
+def as_fact(found: DataFrame, load_ts: dt.datetime | None = None) -> DataFrame:
+    """Rows with all keys as fact rows, without row keys."""
+    return found.withColumns({"currency": F.coalesce("currency", F.lit("USD")), "dw_loaded_at": load_time(load_ts)}).select(*model.FACT_COLUMNS[1:])
+
+
 def resolve_fact(
     stage: DataFrame,
     star: Star,
@@ -101,16 +122,15 @@ def resolve_fact(
     found = look_up_keys(new, star, limits)
     for key in FOREIGN_KEYS:
         found = found.where(F.col(key).isNotNull())
-    filled = {"currency": F.coalesce("currency", F.lit("USD")), "dw_loaded_at": load_time(load_ts)}
-    return found.withColumns(filled).select(*model.FACT_COLUMNS[1:])
+    return as_fact(found, load_ts)
 
 
-def number_fact(resolved: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Row keys after the greatest of ``existing``, dense, and a function of the set of transaction ids alone.
+def number_fact(resolved: DataFrame, existing: DataFrame | None = None, after: int | None = None) -> DataFrame:
+    """Row keys after the greatest of ``existing``, or ``after`` a known one; dense, and a function of the set of transaction ids alone.
 
     The rows are read twice, so store them first. A recomputed task gives its rows the same keys.
     """
-    return assign_surrogate_keys(resolved, "transaction_id", "transaction_sk", existing).select(*model.FACT_COLUMNS)
+    return assign_surrogate_keys(resolved, "transaction_id", "transaction_sk", existing, after).select(*model.FACT_COLUMNS)
 
 
 def load_fact(
@@ -127,9 +147,8 @@ def load_fact(
 def unresolved_rows(stage: DataFrame, star: Star, limits: Limits = LIMITS, same_days_only: bool = False) -> DataFrame:
     """What the load leaves out because a dimension has no match, with the missing dimensions named."""
     new = not_yet_loaded(distinct_transactions(stage), star.fact, same_days_only)
-    found = look_up_keys(new, star, limits)
-    missing = F.concat_ws(",", *[F.when(F.col(key).isNull(), F.lit(key)) for key in FOREIGN_KEYS])
-    return found.withColumn("missing_keys", missing).where("missing_keys <> ''").select(*stage.columns, "missing_keys")
+    found = look_up_keys(new, star, limits).withColumn("missing_keys", missing_keys())
+    return found.where("missing_keys <> ''").select(*stage.columns, "missing_keys")
 
 
 def references(star: Star) -> dict[str, DataFrame]:

@@ -33,10 +33,11 @@ def split_flagged(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that pass every rule (helper columns dropped) and rows that do not (with the reasons)."""
     judged = flagged.withColumn("_is_valid", all_passed())
     valid = judged.where("_is_valid").drop(*RULE_NAMES, "_is_valid")
-    invalid = judged.where("NOT _is_valid").withColumns(
-        {"_quarantine_ts": F.current_timestamp(), "_failed_checks": failed_list()}
-    )
-    return valid, invalid
+    return valid, with_reasons(judged.where("NOT _is_valid"))
+
+
+def with_reasons(rejected: DataFrame) -> DataFrame:
+    return rejected.withColumns({"_quarantine_ts": F.current_timestamp(), "_failed_checks": failed_list()})
 
 
 def validation_counts() -> list:

@@ -6,18 +6,33 @@ holds much of the batch over several tasks and packs small days together, so fil
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cardflux import model
+from cardflux.functions.rules import RULE_NAMES, all_passed
+from cardflux.operators.validation import with_reasons
+from cardflux.sources import ledger, manifest
+
+#: Partition columns that tell appends of the curated folder and loads of the fact apart.
+APPEND = "append_id"
+LOAD = "load_id"
 
 
 def by_day(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", F.col("ingest_date"))
 
 
+def store_judged(flagged: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with rule verdicts, stored once by outcome: the valid side and the rejected side, each read back by partition."""
+    judged = flagged.withColumn("is_valid", all_passed())
+    judged.write.mode("overwrite").partitionBy("is_valid").parquet(folder)
+    kept = flagged.sparkSession.read.schema(judged.schema).parquet(folder)
+    valid = kept.where("is_valid").drop(*RULE_NAMES, "is_valid")
+    return valid, with_reasons(kept.where("NOT is_valid").drop("is_valid"))
+
+
 def write_quarantine(invalid: DataFrame, path: str) -> int:
     """Append rejected rows as JSON under their day and return how many there were, in one pass."""
     seen = Observation()
@@ -55,36 +70,45 @@ def append_curated_table(enriched: DataFrame, table: str, fmt: str = "parquet")
 
 
 def write_curated(enriched: DataFrame, path: str) -> int:
-    """Append a batch to the curated Parquet folder; returns the row count taken during the write."""
-    seen = Observation()
+    """Append a batch to the curated Parquet folder and record its files; returns the rows that the files hold.
+
+    The rows are counted on their way, too: an append whose files hold a different number is not recorded.
+    """
+    seen, append_id = Observation(), manifest.new_id()
     rows = enriched.select(*model.CURATED_COLUMNS).observe(seen, F.count(F.lit(1)).alias("rows"))
-    by_day(rows).write.mode("append").partitionBy("ingest_date").option("compression", "snappy").parquet(path)
-    return seen.get["rows"]
+    by_day(rows).write.partitionBy("ingest_date").option("compression", "snappy").parquet(f"{path}/{APPEND}={append_id}")
+    appended = manifest.record(enriched.sparkSession, model.CURATED_SCHEMA, path, APPEND, append_id)
+    if appended.rows != seen.get["rows"]:
+        raise OSError(f"{seen.get['rows']} rows were written to {path}, but its files hold {appended.rows}")
+    return appended.rows
+
+
+def _curated(spark: SparkSession, path: str, skip_unreadable: bool) -> DataFrame:
+    return spark.read.schema(model.CURATED_SCHEMA).option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(path)
 
 
 def read_curated(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
     """Columns are matched by name whatever their case.
 
-    An unreadable file ends the job, unless ``skip_unreadable``; see :func:`skipped_files` for what is then left out.
+    An unreadable file ends the job, unless ``skip_unreadable``; :func:`keep_stage` tells what is then left out.
     """
-    found = spark.read.schema(model.CURATED_SCHEMA).option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(path)
-    return found.select(*model.CURATED_COLUMNS)
+    return _curated(spark, path, skip_unreadable).select(*model.CURATED_COLUMNS)
 
 
-def skipped_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length`` of the curated files that give no row when unreadable ones are skipped.
+def keep_stage(spark: SparkSession, path: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The readable rows of the curated folder as a stage, stored in ``folder``, and a report of each of its files.
 
-    A file that breaks off in the middle is not among them if some of it was read.
+    A file that breaks off gives what can be read before the break. Storing it once gives every later step the same
+    rows, and the rows per file are counted on what was stored, not by reading the damaged files again.
     """
-    given = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    found = spark.read.schema(model.CURATED_SCHEMA).option("ignoreCorruptFiles", "true").parquet(path)
-    # Both sides name a file by its decoded path without the scheme.
-    plain = lambda column: F.regexp_replace(F.url_decode(F.replace(column, F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/+", "/")
-    read = found.select(plain(F.col("_metadata.file_path")).alias("plain")).distinct()
-    return given.withColumn("plain", plain(F.col("path"))).join(read, "plain", "left_anti").select("path", "length")
+    to_stage(_curated(spark, path, True), "_metadata").withColumn("file", manifest.file_name(F.col("_metadata.file_path"), APPEND)).drop(
+        "_metadata"
+    ).write.mode("overwrite").parquet(folder)
+    kept = spark.read.parquet(folder)
+    return kept.drop("file"), manifest.file_report(spark, path, APPEND, kept)
 
 
-def to_stage(curated: DataFrame) -> DataFrame:
+def to_stage(curated: DataFrame, *further: str) -> DataFrame:
     """Narrow curated rows to warehouse types; ``event_time`` becomes the UTC wall clock."""
     return curated.withColumns(
         {
@@ -92,7 +116,7 @@ def to_stage(curated: DataFrame) -> DataFrame:
             "spend_velocity_24h": F.col("spend_velocity_24h").cast(model.TOTAL_TYPE),
             "event_time": F.col("event_time_ts").cast("timestamp_ntz"),
         }
-    ).select(*model.STAGE_COLUMNS)
+    ).select(*model.STAGE_COLUMNS, *further)
 
 
 def read_stage(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
@@ -100,13 +124,18 @@ def read_stage(spark: SparkSession, path: str, skip_unreadable: bool = False) ->
 
 
 def read_fact(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored fact with its declared schema, or None where nothing was written yet."""
-    try:
-        return spark.read.schema(model.FACT_SCHEMA).parquet(path).select(*model.FACT_COLUMNS)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    """The stored fact with its declared schema, or None where nothing was loaded yet.
+
+    Of a fact that loads write, the rows of committed loads; loads are folders, so the others are not even opened.
+    """
+    hidden = ledger.uncommitted(spark, path)
+    schema = model.FACT_SCHEMA if hidden is None else f"{model.FACT_SCHEMA}, {LOAD} string"
+    found = manifest.read_if_there(spark, schema, path)
+    if found is None or (hidden is not None and ledger.loads(spark, path) is None):
+        return None
+    if hidden:
+        found = found.where(~F.col(LOAD).isin(hidden))
+    return found.select(*model.FACT_COLUMNS)
 
 
 def write_fact(fact: DataFrame, path: str) -> None:
@@ -122,3 +151,9 @@ def write_fact(fact: DataFrame, path: str) -> None:
         .partitionBy("ingest_date")
         .parquet(path)
     )
+
+
+def append_fact(fact: DataFrame, path: str, load_id: str) -> manifest.Appended:
+    """Fact rows of one load, in its folder, and their record. They are there for readers once the load is committed."""
+    write_fact(fact, f"{path}/{LOAD}={load_id}")
+    return manifest.record(fact.sparkSession, model.FACT_SCHEMA, path, LOAD, load_id)

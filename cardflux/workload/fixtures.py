@@ -110,3 +110,39 @@ def lineitem_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "zip_code": F.lit(None).cast("string"),
     }
     return joined.select(*[columns[name].alias(name) for name in RAW_SCHEMA.fieldNames()])
+
+
+# -- damage to stored files, one bounded stream or name at a time ------------
+
+
+def _paths(spark: SparkSession, root: str, files: DataFrame):
+    """File system and path of each named file; as many names as the damaged days have files."""
+    hadoop = spark._jvm.org.apache.hadoop
+    for row in files.select("file").toLocalIterator():
+        path = hadoop.fs.Path(f"{root}/{row['file']}")
+        yield path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def break_off(spark: SparkSession, root: str, files: DataFrame) -> None:
+    """Keep the first half of each file."""
+    hadoop = spark._jvm.org.apache.hadoop
+    for system, path in _paths(spark, root, files):
+        half = hadoop.fs.Path(f"{path.toString()}.half")
+        source, target = system.open(path), system.create(half)
+        hadoop.io.IOUtils.copyBytes(source, target, system.getFileStatus(path).getLen() // 2, True)
+        system.delete(path, False)
+        system.rename(half, path)
+
+
+def remove(spark: SparkSession, root: str, files: DataFrame) -> None:
+    for system, path in _paths(spark, root, files):
+        system.delete(path, False)
+
+
+def rename_texts(spark: SparkSession, folder: str) -> None:
+    """Give the text files of a folder names as tables have them."""
+    hadoop = spark._jvm.org.apache.hadoop
+    path = hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.globStatus(hadoop.fs.Path(f"{folder}/*.txt")):
+        system.rename(status.getPath(), status.getPath().suffix(".parquet"))

@@ -193,6 +193,8 @@ CTES |= {
                (SELECT {_half_up(f"100 * count(*) FILTER (NOT ({_ALL}))", "count(*)", 2)} FROM checked) AS quarantine_rate_pct,
                (SELECT sum({" + ".join(f"CAST(NOT {name} AS BIGINT)" for name in RULE_NAMES)}) FROM checked) AS schema_violations_today,
                (SELECT count(*) FROM a_raw WHERE city = 'Town 3' AND kafka_ingest_time LIKE '2024-01-30%') AS dlq_count_today""",
+    "a_batches": """SELECT count(*) FILTER (transaction_id IN (SELECT transaction_id FROM a_stage WHERE ingest_date < DATE '2024-01-16')) AS early,
+        count(*) AS total FROM a_fact""",
     "today": "SELECT * FROM a_fact WHERE ingest_date = DATE '2024-01-30'",
     "checked": "SELECT * FROM h_flagged WHERE coalesce(ingest_date, CAST(left(kafka_ingest_time, 10) AS DATE)) = DATE '2024-01-30'",
 }
@@ -316,8 +318,17 @@ _QUERIES: dict[str, str] = {
     "load_star_unresolved": f"""SELECT transaction_id, customer_id, merchant_id, {_day("ingest_date")}, {_money("amount_usd")},
         'date_key' AS missing_keys FROM b_fact WHERE ingest_date > DATE '2000-06-30'""",
     "incremental_fact_load": f"""SELECT transaction_id, date_key, {_money("amount_usd")}, {_time("event_time")}, '2024-02-01 00:00:00' AS dw_loaded_at
-        FROM a_fact WHERE transaction_id NOT IN (SELECT transaction_id FROM a_stage WHERE ingest_date < DATE '2024-01-16')""",
+        FROM b_fact WHERE transaction_id NOT IN (SELECT transaction_id FROM b_stage WHERE ingest_date < {_SPLIT_DAY})""",
     "warehouse_load_twice": f"SELECT {_FACT} FROM a_fact",
+    "warehouse_load_after_crash": f"SELECT {_FACT} FROM a_fact",
+    "load_log": """SELECT CAST(1 AS INTEGER) AS seq, '2024-01-31 00:00:00' AS dw_loaded_at, early AS rows, early AS greatest_key, TRUE AS in_fact FROM a_batches
+        UNION ALL SELECT 2, '2024-02-01 00:00:00', total - early, total, TRUE FROM a_batches
+        UNION ALL SELECT 3, '2024-02-02 00:00:00', 0, total, TRUE FROM a_batches""",
+    "stage_skipped_files": """SELECT strftime(ingest_date, '%Y-%m-%d') AS ingest_date,
+            CASE ingest_date WHEN DATE '2024-01-05' THEN 'damaged' WHEN DATE '2024-01-09' THEN 'missing' ELSE 'whole' END AS state,
+            count(*) AS promised_rows, count(*) FILTER (readable) AS read_rows, count(*) FILTER (NOT readable) AS lost_rows, count(*) FILTER (readable) AS staged_rows
+        FROM (SELECT *, ingest_date NOT IN (DATE '2024-01-05', DATE '2024-01-09') AS readable FROM a_curated) GROUP BY ALL
+        UNION ALL SELECT '2024-01-12', 'unreadable', 0, 0, 0, (SELECT count(*) FROM a_curated WHERE ingest_date = DATE '2024-01-12')""",
     "warehouse_unresolved": """SELECT count(*) AS stage_rows, count(*) - count(DISTINCT transaction_id) AS duplicate_rows,
         (SELECT count(*) FROM a_fact WHERE ingest_date <= DATE '2024-01-16') AS fact_rows,
         (SELECT count(*) FROM a_fact WHERE ingest_date <= DATE '2024-01-16') AS greatest_key,
@@ -347,6 +358,19 @@ _QUERIES: dict[str, str] = {
         concat_ws(',', {", ".join(f"CASE WHEN {name} IS NOT NULL THEN '{name}' END" for name in model.RAW_SCHEMA.fieldNames())}) AS field_order
         FROM a_raw""",
     "velocity_approx": f"SELECT {_VELOCITY}, TRUE AS within_one FROM a_rolling",
+    "check_declarations": " UNION ALL ".join(
+        f"""SELECT '{name}' AS "column", CAST({repeated} AS BIGINT) AS repeated_values, count(*) FILTER ({source} IS NULL) AS nulls,
+            CAST({keys} AS BIGINT) AS orphan_keys, CAST({lost} AS BIGINT) AS orphan_rows FROM b_fact"""
+        for name, source, repeated, keys, lost in (
+            ("transaction_id", "transaction_id", "count(*) - count(DISTINCT transaction_id)", "NULL", "NULL"),
+            ("customer_key", "customer_id", "NULL", "count(DISTINCT customer_id) FILTER (customer_id NOT IN (SELECT customer_id FROM b_customers))", "0"),
+            ("merchant_key", "merchant_id", "NULL", "count(DISTINCT merchant_id) FILTER (merchant_id NOT IN (SELECT merchant_id FROM b_merchants))", "0"),
+            ("date_key", "date_key", "NULL", "count(DISTINCT date_key) FILTER (ingest_date > DATE '2000-06-30')", "count(*) FILTER (ingest_date > DATE '2000-06-30')"),
+            ("fraud_signal_key", "signal_label", "NULL", "0", "count(*) FILTER (risk_tier NOT IN ('high', 'medium', 'low'))"),
+            ("amount_usd", "amount_usd", "NULL", "NULL", "NULL"),
+            ("event_time", "event_time", "NULL", "NULL", "NULL"),
+        )
+    ),
     "check_unique": "SELECT transaction_id, count(*) AS rows FROM b_stage GROUP BY transaction_id HAVING count(*) > 1",
     "check_not_null": " UNION ALL ".join(
         f"SELECT '{name}' AS \"column\", count(*) FILTER ({name} IS NULL) AS nulls FROM a_raw"

@@ -24,12 +24,15 @@ from cardflux.operators.velocity import add_velocity_features
 from cardflux.plans import panels, views
 from cardflux.plans.jobs import load_warehouse, run_batch
 from cardflux.session import use_utc
-from cardflux.sources import landing, tables
+from cardflux.sources import landing, ledger, manifest, tables
+from cardflux.sources.ids import append_ids
 from cardflux.sources.scratch import scratch_folder
 from cardflux.streaming.flows import land_topic, validate_stream
 from cardflux.workload import fixtures as fx
 
 SECOND_LOAD = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
+THIRD_LOAD = dt.datetime(2024, 2, 2, tzinfo=dt.timezone.utc)
+BROKEN_DAY, LOST_DAY, FOREIGN_DAY = "2024-01-05", "2024-01-09", "2024-01-12"
 HISTORY_UNTIL = "2024-01-15 12:00:00"
 FIRST_BATCH_BEFORE = "1998-07-01"
 FIRST_EVENTS_BEFORE = dt.date(2024, 1, 16)
@@ -96,10 +99,11 @@ def _lines_stage(spark, sf_dir):
     return _staged(spark, enrich(_lines_valid(spark, sf_dir)), "lines-curated")
 
 
-def _load(spark: SparkSession, stage: DataFrame, dates: tuple[dt.date, dt.date]) -> Star:
+def _load(spark: SparkSession, stage: DataFrame, dates: tuple[dt.date, dt.date], by_day: bool = False) -> Star:
     """The star after a first load of ``stage``, stored once: dimensions first, then the resolved rows.
 
-    Row keys are left out, as no view reads them; the loads by the job are queries of their own.
+    Row keys are left out, as no view reads them; the loads by the job are queries of their own. ``by_day``
+    clusters the fact as the job does, for panels that read some of its days.
     """
     folder = scratch_folder(spark, "star")
 
@@ -113,7 +117,11 @@ def _load(spark: SparkSession, stage: DataFrame, dates: tuple[dt.date, dt.date])
         dates=dims.build_dim_date(spark, *dates),
         signals=dims.build_dim_fraud_signal(spark),
     )
-    return star.with_fact(kept(star_ops.resolve_fact(stage, star, fx.LOAD_TS), "fact"))
+    resolved = star_ops.resolve_fact(stage, star, fx.LOAD_TS)
+    if not by_day:
+        return star.with_fact(kept(resolved, "fact"))
+    tables.write_fact(resolved, f"{folder}/fact")
+    return star.with_fact(spark.read.schema(resolved.schema).parquet(f"{folder}/fact"))
 
 
 def _events_star(spark, sf_dir):
@@ -137,7 +145,8 @@ def _performance(spark, sf_dir):
 def _recent_performance(spark, sf_dir):
     """The last 30 days; the panels on it use no rolling value, so only these days of the fact are read."""
     since = fx.LINES_AS_OF - dt.timedelta(days=30)
-    return panels.last_days(views.merchant_daily_performance(_lines_star(spark, sf_dir), since), fx.LINES_AS_OF, 30)
+    star = _load(spark, _lines_stage(spark, sf_dir), fx.LINES_DATES, by_day=True)
+    return panels.last_days(views.merchant_daily_performance(star, since), fx.LINES_AS_OF, 30)
 
 
 def _alerts(spark, sf_dir):
@@ -340,9 +349,9 @@ def _loaded_twice(spark, first, second, again: str):
 
 
 def incremental_fact_load(spark, sf_dir):
-    """What a second load of all events adds to a fact that holds the earlier ones."""
-    stage = _events_stage(spark, sf_dir)
-    first = stage.where(F.col("ingest_date") < F.lit(FIRST_EVENTS_BEFORE))
+    """What a second load of all order lines adds to a fact that holds the earlier ones."""
+    stage = _lines_stage(spark, sf_dir)
+    first, _ = _two_batches(stage)
     star = _loaded_twice(spark, first, stage, "v1")
     added = star.fact.where(F.col("dw_loaded_at") == F.lit(SECOND_LOAD).cast("timestamp_ntz"))
     return added.select("transaction_id", "date_key", "amount_usd", "event_time", "dw_loaded_at")
@@ -367,6 +376,49 @@ def warehouse_unresolved(spark, sf_dir):
     return counts[0].join(counts[1]).join(counts[2])  # one row each
 
 
+def warehouse_load_after_crash(spark, sf_dir):
+    """The fact after a load that broke off before its last entry, with all its files written, and was run again."""
+    stage, folder = _events_stage(spark, sf_dir), scratch_folder(spark, "loads")
+    fact_path = f"{folder}/fact"
+    lost = ledger.begin(spark, fact_path)
+    left_behind = star_ops.number_fact(_load(spark, stage, fx.EVENTS_DATES).fact)
+    tables.append_fact(left_behind, fact_path, lost)
+    append_ids(left_behind, fact_path, 8, lost)
+    star = load_warehouse(spark, stage, fact_path, f"{folder}/v1", None, fx.LOAD_TS, id_buckets=8)
+    return _natural_fact(star.fact, star)
+
+
+def load_log(spark, sf_dir):
+    """The ledger after loads of the earlier events, of all events, and of all events again."""
+    stage, folder = _events_stage(spark, sf_dir), scratch_folder(spark, "loads")
+    first = stage.where(F.col("ingest_date") < F.lit(FIRST_EVENTS_BEFORE))
+    for number, (batch, load_ts) in enumerate([(first, fx.LOAD_TS), (stage, SECOND_LOAD), (stage, THIRD_LOAD)], 1):
+        star = load_warehouse(spark, batch, f"{folder}/fact", f"{folder}/v{number}", None, load_ts)
+    keys = star.fact.agg(F.max("transaction_sk").alias("greatest_in_fact")).scalar()
+    return star.loads.select("seq", "dw_loaded_at", "rows", "greatest_key", (F.col("greatest_key") <= keys).alias("in_fact"))
+
+
+def stage_skipped_files(spark, sf_dir):
+    """What a load got from a curated folder in which one day's files broke off, another day's are gone and a foreign one lies about.
+
+    Damage is done to files of their own days: those of one day lose their second half, those of another are removed.
+    """
+    folder = scratch_folder(spark, "damaged")
+    tables.write_curated(_events_curated(spark, sf_dir), folder)
+    files = manifest.recorded(spark, folder)
+    fx.break_off(spark, folder, files.where(F.col("file").contains(f"ingest_date={BROKEN_DAY}")))
+    fx.remove(spark, folder, files.where(F.col("file").contains(f"ingest_date={LOST_DAY}")))
+    spark.range(1).select(F.lit("not a table").alias("value")).write.text(f"{folder}/{tables.APPEND}=foreign/ingest_date={FOREIGN_DAY}")
+    fx.rename_texts(spark, f"{folder}/{tables.APPEND}=foreign/ingest_date={FOREIGN_DAY}")
+    stage, report = tables.keep_stage(spark, folder, f"{folder}-stage")
+    day = F.regexp_extract("file", "ingest_date=([0-9-]+)", 1).alias("ingest_date")
+    lost = report.groupBy(day, "state").agg(
+        F.coalesce(F.sum("promised_rows"), F.lit(0)).alias("promised_rows"), F.sum("read_rows").alias("read_rows"), F.coalesce(F.sum("lost_rows"), F.lit(0)).alias("lost_rows")
+    )
+    kept = stage.groupBy(F.date_format("ingest_date", "yyyy-MM-dd").alias("ingest_date")).agg(F.count(F.lit(1)).alias("staged_rows"))
+    return lost.join(kept, "ingest_date", "left").na.fill(0, ["staged_rows"])
+
+
 def batch_job(spark, sf_dir):
     """Landing files through the whole batch job: rows per day of the curated table, and the job's counts."""
     folder = scratch_folder(spark, "batch")
@@ -394,6 +446,13 @@ def check_fact_not_null(spark, sf_dir):
     return rows.null_counts(_lines_star(spark, sf_dir).fact, model.FACT_REQUIRED)
 
 
+def check_declarations(spark, sf_dir):
+    """All that the fact declares, per column and from one scan of it, with a calendar that ends too early."""
+    star = _lines_star(spark, sf_dir)
+    dates = dims.build_dim_date(spark, fx.LINES_DATES[0], KNOWN_DATES_BEFORE)
+    return rows.column_checks(star.fact, [model.DECLARED_UNIQUE["fact"]], model.FACT_REQUIRED, {**star_ops.references(star), "date_key": dates})
+
+
 def check_unique(spark, sf_dir):
     return rows.duplicated_keys(_lines_stage(spark, sf_dir), ["transaction_id"])
 
@@ -481,6 +540,7 @@ QUERIES = {
     "quarantine_roundtrip": quarantine_roundtrip,
     "curated_roundtrip": curated_roundtrip,
     "stage_curated": stage_curated,
+    "stage_skipped_files": stage_skipped_files,
     "adhoc_sql": adhoc_sql,
     # validation
     "enforce_schema": lambda s, d: enforce_schema(fx.events_raw(s, d)),
@@ -512,10 +572,13 @@ QUERIES = {
     "load_star_unresolved": load_star_unresolved,
     "incremental_fact_load": incremental_fact_load,
     "warehouse_load_twice": warehouse_load_twice,
+    "warehouse_load_after_crash": warehouse_load_after_crash,
     "warehouse_unresolved": warehouse_unresolved,
+    "load_log": load_log,
     "batch_job": batch_job,
     "check_declared_unique": check_declared_unique,
     "check_fact_not_null": check_fact_not_null,
+    "check_declarations": check_declarations,
     "check_unique": check_unique,
     "check_not_null": check_not_null,
     "check_foreign_keys": check_foreign_keys,

@@ -9,7 +9,7 @@ from cardflux.functions.calendar import iso_utc
 from cardflux.operators.enrichment import enrich
 from cardflux.operators.validation import enforce_schema, flag_rules, split_flagged
 from cardflux.plans import jobs, panels
-from cardflux.sources import landing, tables
+from cardflux.sources import landing, manifest, tables
 from cardflux.sources.scratch import scratch_folder
 from cardflux.streaming.flows import land_topic, validate_stream
 from tests.conftest import LOAD, NOW, PLAIN, record, uuid
@@ -73,8 +73,50 @@ def test_unreadable_files_end_the_read_or_are_reported(spark, raw, tmp_path):
     with pytest.raises(Exception, match="part-broken"):
         tables.read_stage(spark, str(tmp_path / "s")).count()
     assert tables.read_stage(spark, str(tmp_path / "s"), skip_unreadable=True).count() == 1
-    skipped = tables.skipped_files(spark, str(tmp_path / "s")).collect()
-    assert [(row["path"].rsplit("/", 1)[-1], row["length"]) for row in skipped] == [("part-broken.parquet", 18)]
+    stage, report = tables.keep_stage(spark, str(tmp_path / "s"), str(tmp_path / "kept"))
+    assert stage.columns == model.STAGE_COLUMNS and stage.count() == 1
+    states = {row["file"]: (row["state"], row["read_rows"], row["found_bytes"]) for row in report.collect()}
+    assert states.pop("part-broken.parquet") == ("unreadable", 0, 18)
+    assert [state[:2] for state in states.values()] == [("unrecorded", 1)]
+
+
+def test_every_append_is_recorded_and_lost_rows_are_counted_per_file(spark, raw, tmp_path):
+    """Files of one folder: whole, without an end, damaged in the middle, gone, and never recorded."""
+    path = tmp_path / "c"
+    for day in range(1, 5):
+        # Two batches of rows of a reader, so that damage to the second one leaves the first.
+        rows = enrich(enforce_schema(raw(record(event_time=f"2025-02-0{day}T08:00:00+00:00")))).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(9000))))
+        numbered = rows.withColumns({"transaction_id": F.concat("transaction_id", F.lit("-"), F.sha2(F.col("n").cast("string"), 256))})
+        assert tables.write_curated(numbered.coalesce(1).drop("n"), str(path)) == 9000
+    assert tables.write_curated(numbered.limit(0).drop("n"), str(path)) == 0
+    recorded = {row["file"]: (row["rows"], row["bytes"]) for row in manifest.recorded(spark, str(path)).collect()}
+    files = {day: next(path.glob(f"append_id=*/ingest_date=2025-02-0{day}/*.parquet")) for day in range(1, 5)}
+    assert recorded == {str(f.relative_to(path)): (9000, f.stat().st_size) for f in files.values()}
+    assert tables.read_curated(spark, str(path)).count() == 36_000
+
+    for file in path.glob("append_id=*/*/.*.crc"):
+        file.unlink()
+    data = files[2].read_bytes()
+    files[2].write_bytes(data[: len(data) // 2])
+    data = files[3].read_bytes()
+    files[3].write_bytes(data[: len(data) // 2] + b"\0" * 2000 + data[len(data) // 2 + 2000 :])
+    files[4].unlink()
+    (path / "append_id=x" / "ingest_date=2025-02-07").mkdir(parents=True)
+    (path / "append_id=x" / "ingest_date=2025-02-07" / "odd.parquet").write_bytes(b"odd")
+    stage, report = tables.keep_stage(spark, str(path), str(tmp_path / "stage"))
+    lines = {row["file"][-60:]: row for row in report.collect()}
+    by_day = {day: lines[str(file)[-60:]] for day, file in files.items()}
+    assert [by_day[day]["state"] for day in range(1, 5)] == ["whole", "damaged", "damaged", "missing"]
+    assert [by_day[day]["lost_rows"] for day in (1, 2, 4)] == [0, 9000, 9000]
+    assert 0 <= by_day[3]["read_rows"] < 9000 and by_day[3]["lost_rows"] == 9000 - by_day[3]["read_rows"]
+    assert [row["state"] for row in report.where("file LIKE '%odd.parquet'").collect()] == ["unreadable"]
+    assert stage.count() == 9000 + by_day[3]["read_rows"]
+
+
+def test_an_append_whose_files_lack_rows_is_not_recorded(spark, raw, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables.manifest, "record", lambda *args: manifest.Appended("x", 0, 0, 0))
+    with pytest.raises(OSError, match="1 rows were written"):
+        tables.write_curated(enrich(enforce_schema(raw(record()))), str(tmp_path / "c"))
 
 
 def test_a_mistyped_field_is_no_dead_letter(spark):
@@ -101,6 +143,23 @@ def test_batch_job(spark, raw, tmp_path):
     counts = jobs.run_batch(spark, *paths, fmt="parquet", now=NOW)
     assert counts == {"total": 3, "passed": 2, "quarantined": 1, "written": 2}
     assert tables.read_stage(spark, paths[1]).count() == 2
+    rejected = spark.read.json(paths[2]).first()
+    assert rejected["_failed_checks"] == "_chk_amount_range" and rejected["_quarantine_ts"]
+    assert not set(spark.read.json(paths[2]).columns) & {"is_valid", "_is_valid"}
+
+
+def test_batch_job_reads_the_landing_files_once(spark, raw, tmp_path):
+    """Neither the valid nor the rejected side leads back to them."""
+    raw(record(), record(amount_usd=0.0)).write.parquet(str(tmp_path / "landing"))
+    valid, _ = jobs.run_validation(landing.read_landing(spark, str(tmp_path / "landing"), "parquet"), str(tmp_path / "q"), NOW)
+    assert all("landing" not in file for file in valid.inputFiles())
+    assert valid.columns == split_flagged(flag_rules(enforce_schema(raw(record())), NOW))[0].columns
+
+
+def test_a_batch_without_a_valid_row_raises_and_keeps_its_rejects(spark, raw, tmp_path):
+    with pytest.raises(jobs.NothingValid):
+        jobs.run_validation(raw(record(amount_usd=0.0)), str(tmp_path / "q"), NOW)
+    assert spark.read.json(str(tmp_path / "q")).count() == 1
 
 
 def test_clustered_fact_splits_a_hot_merchant(spark, tmp_path):
@@ -145,6 +204,24 @@ def test_stream_landing(spark, raw, tmp_path):
     assert (tmp_path / "out" / "event_date=2025-02-12" / "event_hour=15").is_dir()
 
 
+def test_a_topic_delivered_twice_lands_once(spark, raw, tmp_path):
+    """Over triggers and a restart; records that do not parse, and those alike in id alone, all land."""
+    events = raw(*[record(transaction_id=uuid(n), event_time=f"2025-02-12T0{n % 2}:00:00+00:00") for n in range(10)], record(transaction_id=uuid(1), amount_usd=5.0))
+    broken = spark.createDataFrame([("k", "{one"), ("k", "{two")], "key string, value string")
+    records = landing.to_topic_records(events).unionByName(broken).coalesce(1)
+    out = str(tmp_path / "out")
+    for run in range(2):
+        records.write.mode("append").parquet(str(tmp_path / "in"))
+        records.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("key string, value string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        land_topic(stream, out, str(tmp_path / "state"), "parquet", None).awaitTermination()
+        landed = landing.read_landing(spark, out, "parquet")
+        assert landed.count() == 13
+        assert landed.where(F.col("transaction_id") == uuid(1)).count() == 2
+    folders = list((tmp_path / "out" / "event_date=2025-02-12").iterdir())
+    assert len(folders) == 3 and all(len(list(folder.glob("*.parquet"))) == 1 for folder in folders)
+
+
 def test_health_panel(spark, raw):
     events = raw(record(transaction_id=uuid(1)), record(transaction_id=uuid(2), channel="fax"), record(transaction_id=uuid(3), amount_usd=None),
                  record(transaction_id=uuid(4), event_time="?"))

@@ -251,7 +251,10 @@ def test_repeating_a_first_load_adds_nothing(spark, raw, tmp_path):
     once = jobs.load_warehouse(spark, batch, fact, str(tmp_path / "v1"), None, LOAD).fact.collect()
     again = jobs.load_warehouse(spark, batch, fact, str(tmp_path / "v1"), None, LOAD)
     assert sorted(again.fact.collect()) == sorted(once)
-    assert again.loads.count() == 0 and again.unresolved.count() == 0
+    assert again.unresolved.count() == 0
+    assert [(r["seq"], r["rows"], r["greatest_key"]) for r in again.loads.orderBy("seq").collect()] == [(1, 20, 20), (2, 0, 20)]
+    row = panels.load_freshness(again.loads, LOAD + dt.timedelta(minutes=3)).first()
+    assert (row["age_minutes"], row["status"]) == (3, "green")
 
 
 def test_the_calendar_spans_the_batch_and_a_cut_one_reports_every_row(spark, raw, tmp_path):

@@ -149,7 +149,7 @@ def test_hot_customer_window_is_bounded_by_seconds(spark):
 
 def test_time_features(spark, raw):
     row = add_time_features(enforce_schema(raw(record()))).first()
-    assert (row["hour_of_day"], row["day_of_week"], row["week_of_year"]) == (14, 7, 15)
+    assert (row["hour_of_day"], row["day_of_week"], row["week_of_year"]) == (8, 4, 7)
 
 
 @pytest.mark.parametrize(
