@@ -129,7 +129,9 @@ def break_off(spark: SparkSession, root: str, files: DataFrame) -> None:
     for system, path in _paths(spark, root, files):
         half = hadoop.fs.Path(f"{path.toString()}.half")
         source, target = system.open(path), system.create(half)
-        hadoop.io.IOUtils.copyBytes(source, target, system.getFileStatus(path).getLen() // 2, True)
+        spark._jvm.org.apache.commons.io.IOUtils.copyLarge(source, target, 0, system.getFileStatus(path).getLen() // 2)
+        source.close()
+        target.close()
         system.delete(path, False)
         system.rename(half, path)
 

@@ -359,8 +359,8 @@ _QUERIES: dict[str, str] = {
         FROM a_raw""",
     "velocity_approx": f"SELECT {_VELOCITY}, TRUE AS within_one FROM a_rolling",
     "check_declarations": " UNION ALL ".join(
-        f"""SELECT '{name}' AS "column", CAST({repeated} AS BIGINT) AS repeated_values, count(*) FILTER ({source} IS NULL) AS nulls,
-            CAST({keys} AS BIGINT) AS orphan_keys, CAST({lost} AS BIGINT) AS orphan_rows FROM b_fact"""
+        f"""SELECT '{name}' AS "column", CAST({repeated} AS VARCHAR) AS repeated_values, CAST(count(*) FILTER ({source} IS NULL) AS VARCHAR) AS nulls,
+            CAST({keys} AS VARCHAR) AS orphan_keys, CAST({lost} AS VARCHAR) AS orphan_rows FROM b_fact"""
         for name, source, repeated, keys, lost in (
             ("transaction_id", "transaction_id", "count(*) - count(DISTINCT transaction_id)", "NULL", "NULL"),
             ("customer_key", "customer_id", "NULL", "count(DISTINCT customer_id) FILTER (customer_id NOT IN (SELECT customer_id FROM b_customers))", "0"),
