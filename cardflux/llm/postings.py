@@ -3,9 +3,11 @@
 One more coordinate turns the largest inner product into the least distance. Lists are the leaves of a tree
 of median cuts over a bounded sample (``MAX_SAMPLE``), so they hold about equally many vectors; their centroids, at
 most ``MAX_LISTS``, are searched by a beam on an in-memory neighbour graph. Every vector is indexed: in its nearest
-list and, if it lies near a boundary, in further lists whose distance is within ``REPLICATE`` of the nearest, leaving
-out lists that lie closer to a chosen one. A query reads the lists within ``PRUNE`` of its nearest, ``LEAST_PROBES``
-at least and ``MOST_PROBES`` at most.
+list and, if it lies near the boundary to another one, there, too, in ``MOST_REPLICAS`` lists at most. The boundary is the plane half-way
+between two centroids; a vector is near it if its distance from the plane is below ``MARGIN`` times that of the centroids.
+A query reads the lists within some ratio of its distance from the nearest, and ``LEAST_PROBES`` at least; where the beam ends before that
+distance is reached, all centroids are looked at. The ratio is the one that finds ``RECALL`` of the true neighbours, within the sample, of
+``PROBED`` of its vectors. A query whose lists give it fewer than ``k`` neighbours reads all lists.
 
 Lists meet queries in blocks: both sides are cut into blocks of about ``BLOCK`` rows by the hash of their id, and every
 pair of blocks of one list is one row, scored by a task at a time. A list that holds a third of all vectors
@@ -18,7 +20,7 @@ score counts once; ties go to the smaller ``vec_id``; other columns are left out
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +33,11 @@ from cardflux.llm.store import stored
 MAX_SAMPLE = 20_000
 MAX_LISTS = 4_096
 LIST_SIZE = 256
-REPLICATE = 1.12
+MARGIN = 0.06
 MOST_REPLICAS = 4
-PRUNE = 1.25
+RECALL = 0.97
+PROBED = 256
 LEAST_PROBES = 16
-MOST_PROBES = 64
 BLOCK = 1_024
 DEGREE = 24
 BEAM = 96
@@ -144,42 +146,62 @@ class Graph:
         order = np.argsort(distance, axis=1, kind="stable")
         return pool[rows, order], np.sqrt(np.maximum(distance[rows, order], 0))
 
-    def lists_to_hold(self, points: np.ndarray) -> list[np.ndarray]:
+    def lists_to_hold(self, points: np.ndarray, margin: float) -> list[np.ndarray]:
         """For each vector its nearest list, and more of them near a boundary."""
         found, distance = self.search(points, 32)
+        apart = ((self.centroids[found] - self.centroids[found[:, :1]]) ** 2).sum(axis=2)
+        # The squared distances differ by twice the product of the distance from the plane and the distance of the centroids.
+        near = distance**2 - distance[:, :1] ** 2 <= 2 * margin * apart
+        near[:, 0] = True
+        near &= np.cumsum(near, axis=1) <= MOST_REPLICAS
+        return [lists[keep].astype(np.int32) for lists, keep in zip(found, near)]
+
+    def ratio(self, sample: np.ndarray, greatest: float, margin: float, k: int, recall: float) -> float:
+        """The distance ratio within which the share ``recall`` of sample vectors' neighbours are held by a list."""
+        probes = sample[:PROBED]
+        scores = probes @ sample.T
+        scores[np.arange(len(probes)), np.arange(len(probes))] = -np.inf
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return 1.0
+        near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        ids, at = np.unique(near, return_inverse=True)
+        holding = self.lists_to_hold(lifted(sample[ids], greatest), margin)
+        distance = np.sqrt(squares(np.concatenate([probes, np.zeros((len(probes), 1))], axis=1), self.centroids))
+        distance /= np.maximum(distance.min(axis=1, keepdims=True), 1e-300)
+        needed = [distance[row, holding[i]].min() for row, places in enumerate(at.reshape(near.shape)) for i in places]
+        return float(np.quantile(needed, recall, method="higher"))
+
+    def lists_to_read(self, points: np.ndarray, prune: float, least: int) -> list[np.ndarray]:
+        found, distance = self.search(points)
         out = []
-        for lists, d in zip(found, distance):
-            chosen = [int(lists[0])]
-            for k, dist in zip(lists[1:], d[1:]):
-                if len(chosen) == MOST_REPLICAS or dist > REPLICATE * d[0]:
-                    break
-                if np.sqrt(((self.centroids[chosen] - self.centroids[k]) ** 2).sum(axis=1)).min() > dist:
-                    chosen.append(int(k))
-            out.append(np.array(chosen, np.int32))
+        for point, lists, d in zip(points, found, distance):
+            if len(lists) < len(self.centroids) and d[-1] <= prune * d[0]:
+                all_distances = np.sqrt(squares(point[None], self.centroids)[0])
+                lists = np.argsort(all_distances, kind="stable")
+                d = all_distances[lists]
+            wanted = d <= prune * d[0]
+            wanted[:least] = True
+            out.append(lists[wanted].astype(np.int32))
         return out
 
-    def lists_to_read(self, points: np.ndarray) -> list[np.ndarray]:
-        found, distance = self.search(points)
-        wanted = (distance <= PRUNE * distance[:, :1]) & (np.arange(found.shape[1]) < MOST_PROBES)
-        wanted[:, :LEAST_PROBES] = True
-        return [row[w].astype(np.int32) for row, w in zip(found, wanted)]
-
 
 def matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
-def fit(rows: DataFrame) -> tuple[Graph, float] | None:
-    """The graph over the lists' centroids and the greatest norm, or None without vectors."""
+def fit(rows: DataFrame, list_size: int = LIST_SIZE, margin: float = MARGIN, k: int = 20, recall: float = RECALL) -> tuple[Graph, float, float] | None:
+    """The graph over the lists' centroids, the greatest norm and the ratio to read by, or None without vectors."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     count, greatest = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
     if not count:
         return None
     drawn = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(MAX_SAMPLE).select("v").toArrow().column("v").combine_chunks()
     sample = matrix(drawn)
-    lists = int(min(MAX_LISTS, max(1, -(-count // LIST_SIZE)), len(sample)))
-    return Graph.over(balanced_centroids(lifted(sample, greatest), lists)), greatest
+    lists = int(min(MAX_LISTS, max(1, -(-count // list_size)), len(sample)))
+    graph = Graph.over(balanced_centroids(lifted(sample, greatest), lists))
+    return graph, greatest, graph.ratio(sample, greatest, margin, k, recall)
 
 
 def lifted(vectors: np.ndarray, greatest: float) -> np.ndarray:
@@ -188,16 +210,14 @@ def lifted(vectors: np.ndarray, greatest: float) -> np.ndarray:
     return np.concatenate([vectors, rest[:, None]], axis=1)
 
 
-def _spread(rows: DataFrame, graph: Graph, greatest: float, reading: bool) -> DataFrame:
+def _spread(rows: DataFrame, lists_of: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
     """``list, vec_id, v``: one row per list that holds (or is read by) a vector."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                vectors = matrix(part.column("v"))
-                points = np.concatenate([vectors, np.zeros((len(vectors), 1))], axis=1) if reading else lifted(vectors, greatest)
-                lists = graph.lists_to_read(points) if reading else graph.lists_to_hold(points)
+                lists = lists_of(matrix(part.column("v")))
                 take = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
                 columns = [pa.array(np.concatenate(lists)), part.column("vec_id").take(take), part.column("v").take(take)]
                 yield pa.RecordBatch.from_arrays(columns, names=["list", "vec_id", "v"])
@@ -213,45 +233,77 @@ def _blocks(spread: DataFrame, prefix: str) -> DataFrame:
 
 
 def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, vector and exact score of each query's ``k`` best in a block, ties to the smaller id."""
+    """Query, vector and exact score of each query's ``k`` best ids in a block, ties to the smaller id."""
+    by_id = np.argsort(ids, kind="stable")
+    ids, vectors = ids[by_id], vectors[by_id]
+    heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     rough = queries @ vectors.T
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
     out = []
     slack = 1e-9 * (np.abs(queries).sum(axis=1) * np.abs(vectors).max() + 1e-300)
     for row, query_id in enumerate(query_ids):
         scores = rough[row]
-        cut = np.partition(scores, -k)[-k] - slack[row] if len(scores) > k else -np.inf
+        # An id may stand in several rows; its best one counts, before anything is cut.
+        best = np.maximum.reduceat(scores, heads)
+        cut = np.partition(best, -k)[-k] - slack[row] if len(best) > k else -np.inf
         near = np.flatnonzero((scores >= cut) & (scores > -np.inf))
         exact = (vectors[near] * queries[row]).sum(axis=1)
         order = np.lexsort((ids[near], -exact))
-        # One id may come in several rows; k different ones are wanted.
         _, first = np.unique(ids[near][order], return_index=True)
         order = order[np.sort(first)[:k]]
         out.append((np.full(len(order), query_id), ids[near][order], exact[order]))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
-def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found of each vector whose id is divisible by ``every``."""
-    spark = vectors.sparkSession
-    rows = stored(usable(vectors, id_column, vector_column), "vectors")
-    fitted = fit(rows)
-    if fitted is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    graph, greatest = fitted
+def _ranked(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest that the lists of each query hold."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                query, held = batch.column("queries")[i].values, batch.column("held")[i].values
-                found = best_of(query.field("vec_id").to_numpy(), matrix(query.field("v")), held.field("vec_id").to_numpy(), matrix(held.field("v")), k)
+                query, there = batch.column("queries")[i].values, batch.column("held")[i].values
+                found = best_of(query.field("vec_id").to_numpy(), matrix(query.field("v")), there.field("vec_id").to_numpy(), matrix(there.field("v")), k)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
-    held = stored(_spread(rows, graph, greatest, reading=False), "posting-lists")
-    asked = stored(_spread(rows.where(F.pmod("vec_id", F.lit(every)) == 0), graph, greatest, reading=True), "list-queries")
     pairs = _blocks(asked, "queries").join(_blocks(held, "held"), "list").select("queries", "held")
     found = pairs.mapInArrow(score, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def search(
+    vectors: DataFrame,
+    id_column: str = "vec_id",
+    vector_column: str = "embedding",
+    every: int = 20,
+    k: int = 20,
+    list_size: int = LIST_SIZE,
+    margin: float = MARGIN,
+    recall: float = RECALL,
+    least_probes: int = LEAST_PROBES,
+) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` nearest found of each vector whose id is divisible by ``every``."""
+    spark = vectors.sparkSession
+    rows = stored(usable(vectors, id_column, vector_column), "vectors")
+    fitted = fit(rows, list_size, margin, k, recall)
+    if fitted is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    graph, greatest, prune = fitted
+
+    def read_by(points: np.ndarray) -> list[np.ndarray]:
+        return graph.lists_to_read(np.concatenate([points, np.zeros((len(points), 1))], axis=1), prune, least_probes)
+
+    def everywhere(points: np.ndarray) -> list[np.ndarray]:
+        return [np.arange(len(graph.centroids), dtype=np.int32)] * len(points)
+
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    held = stored(_spread(rows, lambda points: graph.lists_to_hold(lifted(points, greatest), margin)), "posting-lists")
+    ranked = stored(_ranked(stored(_spread(queries, read_by), "list-queries"), held, k), "neighbours")
+    full = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = stored(queries.join(full, "vec_id", "left_anti"), "short-queries")
+    if short.isEmpty():
+        return ranked
+    again = _ranked(stored(_spread(short, everywhere), "list-queries"), held, k)
+    return ranked.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(again).select("query_id", "rank", "vec_id", "score")

@@ -112,5 +112,58 @@ def test_neighbours_and_odd_vectors(shipped):
     assert [i for i, _ in found[2000]] == list(range(2001, 2021))
 
 
+def nearest_by_brute_force(ids, vectors, k=20):
+    """Sets of the nearest ids per query."""
+    out = {}
+    for place in np.flatnonzero(ids % 20 == 0):
+        scores = vectors @ vectors[place]
+        scores[ids == ids[place]] = -np.inf
+        out[int(ids[place])] = set(ids[np.lexsort((ids, -scores))[:k]].tolist())
+    return out
+
+
+def recall(rows, want):
+    got = {}
+    for row in rows:
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    return sum(len(got[i] & ids) for i, ids in want.items()) / sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize(("spread", "replicas"), [(0.25, 1.02), (100.0, 1.1)])
+def test_neighbours_where_lists_are_pruned(shipped, spread, replicas):
+    """Two hundred lists over clustered vectors, few of which lie near a boundary, and over random ones: replicas, lists read, and recall."""
+    draw = np.random.default_rng(12)
+    vectors = draw.normal(size=(40, 64))[draw.integers(0, 40, 6400)] + spread * draw.normal(size=(6400, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    ids = np.arange(6400)
+    frame = shipped.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>").repartition(4)
+    graph, greatest, ratio = postings.fit(postings.usable(frame, "vec_id", "embedding"), 32)
+    holding = graph.lists_to_hold(postings.lifted(vectors, greatest), postings.MARGIN)
+    reading = graph.lists_to_read(np.concatenate([vectors[::20], np.zeros((320, 1))], axis=1), ratio, 4)
+    assert len(graph.centroids) >= 190
+    assert replicas < sum(map(len, holding)) / 6400 < 2.5
+    assert sum(map(len, reading)) / 320 < 0.85 * len(graph.centroids)
+    rows = postings.search(frame, list_size=32, least_probes=4).collect()
+    assert recall(rows, nearest_by_brute_force(ids, vectors)) > 0.95
+
+
+def test_neighbours_of_the_given_vectors_with_small_lists(shipped):
+    given = table(shipped, "/root/testdata/sf0.1", "embeddings").where("embedding is not null").toPandas()
+    ids, vectors = given["vec_id"].to_numpy(), np.stack(given["embedding"]).astype(float)
+    rows = postings.search(table(shipped, "/root/testdata/sf0.1", "embeddings"), list_size=16).collect()
+    assert recall(rows, nearest_by_brute_force(ids, vectors)) > 0.95
+
+
+def test_rows_of_one_id_do_not_crowd_others_out_and_short_lists_are_made_up_for(shipped):
+    draw = np.random.default_rng(3)
+    rows = [(7, [1.0, 0.001 * n, *draw.normal(size=6)]) for n in range(300)] + [(20, [1.0, 0.0, 0, 0, 0, 0, 0, 0])]
+    rows += [(100 + n, draw.normal(size=8).tolist()) for n in range(1, 41) if (100 + n) % 20]
+    frame = shipped.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    for list_size, probes in ((256, 16), (4, 1)):
+        found = postings.search(frame, list_size=list_size, least_probes=probes, recall=0.0).collect()
+        assert sorted(r["rank"] for r in found if r["query_id"] == 20) == list(range(1, 21))
+        assert len({r["vec_id"] for r in found if r["query_id"] == 20}) == 20
+
+
 def test_no_vectors(shipped):
     assert postings.search(shipped.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
