@@ -22,7 +22,7 @@ SUSPECT[[*range(0x1C, 0x20), 0x3C, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 WHOLE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|<\\|")
 SPACE = 0x20
 END = "<|endoftext|>"
-JOINED = 500
+JOINED = 64
 
 
 class Encoder:

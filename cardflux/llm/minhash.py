@@ -83,7 +83,10 @@ def document_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> list[np.nd
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, node, check, bands``: node and check are two digests of the set, NULL if it is empty."""
+    """``doc_id, digest, n_shingles, node, check, bands``: node and check are two digests of the set, NULL if it is empty.
+
+    ``digest`` is one of the text as it stands and tells rows of one ``doc_id`` apart.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, bounds in text_slices(batches):
@@ -103,14 +106,16 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
             flat = np.concatenate([k for k in keys if k is not None]) if full else np.zeros(0, np.int64)
             columns = [
                 part.column("doc_id").cast(pa.int64()),
+                part.column("digest"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(node, mask=empty),
                 pa.array(check, mask=empty),
                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "check", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n_shingles", "node", "check", "bands"])
 
-    return require(docs, ["doc_id", "text"]).mapInArrow(sign, "doc_id long, n_shingles long, node long, check long, bands array<long>")
+    texts = require(docs, ["doc_id", "text"]).withColumn("digest", F.xxhash64("text"))
+    return texts.mapInArrow(sign, "doc_id long, digest long, n_shingles long, node long, check long, bands array<long>")
 
 
 def _node_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -183,6 +188,38 @@ def _possible(open_members: DataFrame, threshold: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    return _labelled(*_rooted(docs, size, bands, rows, threshold))
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each group: the one of least ``doc_id`` (NULL last) and then least digest of its text.
+
+    Rows without words are in no group and stay. Of rows alike in ``doc_id`` and text the one with the least
+    digest of all columns stays.
+    """
+    signed, nodes, roots = _rooted(docs, size, bands, rows, threshold)
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    grouped = stored(signed.where("node is not null").select("doc_id", "digest", "node").join(rooted, "node"), "grouped-rows")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    least = grouped.groupBy("root").agg(F.min(place).alias("least")).select("least.doc_id", "least.digest")
+    repeated = grouped.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("times"))
+    kept = least.join(repeated, least["doc_id"].eqNullSafe(repeated["doc_id"]) & (least["digest"] == repeated["digest"])).select(
+        least["doc_id"].alias("kept_id"), least["digest"].alias("kept_digest"), "times"
+    )
+    wordless = signed.where("node is null").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"), F.lit(1).cast("long").alias("times")).distinct()
+    kept = stored(kept.unionByName(wordless), "kept-rows")
+    one = kept.where("times = 1")
+    once = docs.join(one, docs["doc_id"].cast("long").eqNullSafe(one["kept_id"]) & (F.xxhash64(docs["text"]) == one["kept_digest"]), "left_semi")
+    # Rows that stand there more than once meet in an aggregate, which sends one of them per task.
+    row = F.struct(*[docs[name] for name in docs.columns])
+    many = kept.where("times > 1")
+    match = docs["doc_id"].cast("long").eqNullSafe(many["kept_id"]) & (F.xxhash64(docs["text"]) == many["kept_digest"])
+    several = docs.join(many, match).groupBy(many["kept_id"], many["kept_digest"]).agg(F.min_by(row, F.xxhash64(*[docs[name] for name in docs.columns])).alias("row"))
+    return once.unionByName(several.select("row.*"))
+
+
+def _rooted(docs: DataFrame, size: int, bands: int, rows: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signatures, the nodes (sets) and the least node that each linked one reaches."""
     signed = stored(signatures(docs, size, bands, rows), "signatures")
     nodes = stored(signed.where("node is not null").groupBy("node", "n_shingles").agg(F.min("doc_id").alias("doc_id")), "nodes")
     # One row with signatures per node; only rows of the same document and set repeat here.
@@ -215,7 +252,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
     found = stored(_confirmed(edges, sets, threshold), "more-links")
     if not found.isEmpty():
         roots = stored(components(links.unionByName(found)), "roots")
-    return _labelled(signed, nodes, roots)
+    return signed, nodes, roots
 
 
 def _labelled(signed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardflux.llm.encoding import encoder, vocabulary
-from cardflux.llm.store import require
+from cardflux.llm.store import require, stored
 from cardflux.llm.textbytes import Words, stream, text_slices
 
 HASHED = 256
@@ -145,5 +145,6 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0,
         yield cutter.take()
 
     order = ["hilbert_key", F.asc_nulls_first("doc_id"), F.xxhash64("text")]
-    along = with_curve_position(docs).repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    # Stored, as the range bounds take a pass over the keys before the sort.
+    along = stored(with_curve_position(docs), "curve-positions").repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return along.mapInArrow(cut, PIECES)

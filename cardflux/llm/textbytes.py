@@ -7,6 +7,7 @@ number of ranges costs two look-ups each. All hashes are 64 bits wide.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,9 @@ def stream(seed: int, n: int) -> np.ndarray:
 BYTE_VALUES = stream(17, 256)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Powers of longer texts are not kept for the next task.
+KEPT_POWERS = 1 << 21
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -55,6 +59,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, as workers live on for later tasks."""
+    if max(_powers, default=0) > KEPT_POWERS:
+        _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of each batch in slices of about ``limit`` bytes: the rows, all bytes, and where each text starts.
 
@@ -75,6 +88,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             data = np.frombuffer(part.buffers()[2], np.uint8) if part.buffers()[2] is not None else np.zeros(0, np.uint8)
             yield batch.slice(row, end - row), data[bounds[0] : bounds[-1]], bounds - bounds[0]
             row = end
+    give_back()
 
 
 class Ranges:

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -45,6 +46,16 @@ def test_near_duplicates_equal_brute_force(table_of, odd_pairs):
             assert row["kept"] == (row["doc_id"] == row["component_id"])
 
 
+def test_one_row_of_each_group_stays(table_of):
+    """Rows are told apart by id and text, whatever they share."""
+    text, other, third = (" ".join(words(n, 60)) for n in (51, 52, 53))
+    near = " ".join("edited" if place == 30 else word for place, word in enumerate(text.split()))
+    pairs = [(1, text), (1, other), (1, text), (2, near), (3, text), (None, other), (None, third), (None, third), (4, ""), (5, None), (5, None), (6, "two words"), (6, "two words")]
+    rows = minhash.representatives(table_of(pairs))
+    assert rows.columns == table_of(pairs).columns
+    assert Counter((r["doc_id"], r["text"]) for r in rows.collect()) == Counter([(1, text), (1, other), (None, third), (4, ""), (5, None), (5, None), (6, "two words")])
+
+
 def test_a_chain_and_a_crowd_of_variants(table_of):
     base = words(11, 100)
     pairs = []
