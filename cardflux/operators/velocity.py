@@ -46,7 +46,7 @@ def add_velocity_features(
 
     ``history`` holds earlier curated rows (not those of the batch) for lookbacks that reach over
     the batch start; without it the features see the batch alone. ``approx`` counts merchants with
-    mergeable sketches instead of exactly.
+    mergeable sketches, of a size that does not depend on their number, instead of exactly.
     """
     rows = batch.withColumn("_second", F.unix_timestamp("event_time_ts"))
     activity = rows.select(*ACTIVITY_COLUMNS)
@@ -92,16 +92,14 @@ def rolling_features(activity: DataFrame, approx: bool = False) -> DataFrame:
     spend = F.sum(F.col("amount_usd").cast(EXACT_MONEY)).alias("_spend")
     in_time = Window.partitionBy("customer_id", "_block").orderBy("_second")
     if approx:
-        sketch = F.hll_sketch_agg("merchant_id", SKETCH_LOG_BUCKETS).alias("_sketch")
-        timeline = _reaching_blocks(dated.groupBy("customer_id", "_second").agg(txns, spend, sketch))
-        last_hour = in_time.rangeBetween(-HOUR, Window.currentRow)
-        merchants = F.hll_sketch_estimate(F.hll_union_agg("_sketch").over(last_hour))
+        timeline = _reaching_blocks(dated.groupBy("customer_id", "_second").agg(txns, spend))
+        merchants = F.lit(None).cast("long")
     else:
         timeline = _steps_in_time(_reaching_blocks(dated.groupBy("customer_id", "_second", "merchant_id").agg(txns, spend)))
         merchants = F.sum("_step").over(in_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))
 
     own_second = (F.col("_txns") > 0) & (_block_of(F.col("_second")) == F.col("_block"))
-    return (
+    features = (
         timeline.select(
             "customer_id",
             "_block",
@@ -114,6 +112,31 @@ def rolling_features(activity: DataFrame, approx: bool = False) -> DataFrame:
         .where(own_second)
         .drop("_block", "_txns")
     )
+    if not approx:
+        return features
+    return features.drop("distinct_merchants_1h").join(_sketched_merchants(dated), ["customer_id", "_second"])
+
+
+def _sketched_merchants(dated: DataFrame) -> DataFrame:
+    """Per (customer, second) the merchants of the last hour, estimated from two running unions of sketches.
+
+    Time is cut into panes as long as the frame. A frame then is the end of one pane and the beginning of the next: the
+    sketches of a pane are united from its start up to each second, and from its end down to each second at which
+    a frame begins. Both runs take every sketch once, so the cost is linear in the rows however many there are in an hour.
+    """
+    second, pane = F.col("_second"), F.lit(HOUR + 1)
+    sketch = F.hll_sketch_agg("merchant_id", SKETCH_LOG_BUCKETS).alias("_sketch")
+    seconds = dated.groupBy("customer_id", "_second").agg(sketch)
+    here = F.floor(second / pane)
+    own = F.struct(here.alias("_pane"), second.alias("_at"), F.col("_sketch"), F.lit(True).alias("_own"))
+    begins = F.struct((here - 1).alias("_pane"), (second - HOUR).alias("_at"), F.lit(None).cast("binary").alias("_sketch"), F.lit(False).alias("_own"))
+    points = seconds.select("customer_id", "_second", F.explode(F.array(own, begins)).alias("_point")).select("customer_id", "_second", "_point.*")
+    in_pane = Window.partitionBy("customer_id", "_pane")
+    until_now = in_pane.orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    from_now = in_pane.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    run = F.when(F.col("_own"), F.hll_union_agg("_sketch").over(until_now)).otherwise(F.hll_union_agg("_sketch").over(from_now))
+    both = points.select("customer_id", "_second", run.alias("_run")).groupBy("customer_id", "_second")
+    return both.agg(F.hll_sketch_estimate(F.hll_union_agg("_run")).alias("distinct_merchants_1h"))
 
 
 def _block_of(second: Column) -> Column:

@@ -293,6 +293,7 @@ _QUERIES: dict[str, str] = {
         CAST(dayofweek(event_time_ts) + 1 AS INTEGER) AS day_of_week, CAST(weekofyear(event_time_ts) AS INTEGER) AS week_of_year FROM a_typed""",
     "velocity_features": f"SELECT {_VELOCITY} FROM a_rolling",
     "velocity_with_history": f"SELECT {_VELOCITY} FROM a_rolling WHERE event_time_ts >= TIMESTAMP '2024-01-15 12:00:00'",
+    "velocity_late_rows": f"SELECT {_VELOCITY}, risk_tier FROM a_curated",
     "risk_tier": "SELECT risk_tier, count(*) AS txns, max(spend_velocity_24h) AS max_spend FROM a_curated GROUP BY risk_tier",
     "merchant_segment": f"SELECT transaction_id, merchant_category, {_SEGMENT} AS merchant_segment FROM a_raw",
     "merchant_segment_join": f"SELECT transaction_id, merchant_category, {_SEGMENT} AS merchant_segment FROM a_raw",
@@ -357,7 +358,7 @@ _QUERIES: dict[str, str] = {
     "kafka_records": f"""SELECT customer_id AS key, transaction_id, merchant_category, event_time, zip_code, amount_usd,
         concat_ws(',', {", ".join(f"CASE WHEN {name} IS NOT NULL THEN '{name}' END" for name in model.RAW_SCHEMA.fieldNames())}) AS field_order
         FROM a_raw""",
-    "velocity_approx": f"SELECT {_VELOCITY}, TRUE AS within_one FROM a_rolling",
+    "velocity_approx": f"SELECT {_VELOCITY}, CAST(0 AS BIGINT) AS merchants_error, TRUE AS within_one FROM a_rolling",
     "check_declarations": " UNION ALL ".join(
         f"""SELECT '{name}' AS "column", CAST({repeated} AS VARCHAR) AS repeated_values, CAST(count(*) FILTER ({source} IS NULL) AS VARCHAR) AS nulls,
             CAST({keys} AS VARCHAR) AS orphan_keys, CAST({lost} AS VARCHAR) AS orphan_rows FROM b_fact"""

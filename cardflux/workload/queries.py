@@ -18,6 +18,7 @@ from cardflux.functions.rules import RULE_NAMES
 from cardflux.operators import dimensions as dims
 from cardflux.operators import rows, star as star_ops
 from cardflux.operators.enrichment import add_merchant_segment_from, add_risk_tier, add_time_features, enrich
+from cardflux.operators.late import with_late_rows
 from cardflux.operators.star import Star
 from cardflux.operators.validation import enforce_schema, flag_rules, rule_failures, split_flagged, validation_summary
 from cardflux.operators.velocity import add_velocity_features
@@ -233,12 +234,12 @@ def velocity_features(spark, sf_dir):
 
 
 def velocity_approx(spark, sf_dir):
-    """The exact features, and whether the sketched number of merchants is off by one at most."""
+    """The exact features, by how much the sketched number of merchants differs, and whether that is by one at most."""
     valid = _events_valid(spark, sf_dir)
     sketched = add_velocity_features(valid, approx=True).select("transaction_id", F.col("distinct_merchants_1h").alias("sketched"))
     both = add_velocity_features(valid).join(sketched, "transaction_id")
-    close = F.abs(F.col("sketched") - F.col("distinct_merchants_1h")) <= 1
-    return both.select("transaction_id", "customer_id", *VELOCITY_COLUMNS, close.alias("within_one"))
+    error = F.col("sketched") - F.col("distinct_merchants_1h")
+    return both.select("transaction_id", "customer_id", *VELOCITY_COLUMNS, error.alias("merchants_error"), (F.abs(error) <= 1).alias("within_one"))
 
 
 def velocity_with_history(spark, sf_dir):
@@ -249,6 +250,18 @@ def velocity_with_history(spark, sf_dir):
     return add_velocity_features(batch, history).select("transaction_id", "customer_id", *VELOCITY_COLUMNS)
 
 
+def velocity_late_rows(spark, sf_dir):
+    """Features after every third event came first, and two further thirds late, each over all of the time."""
+    valid, folder = _events_valid(spark, sf_dir), scratch_folder(spark, "late")
+    third = F.pmod(F.xxhash64("transaction_id"), F.lit(3))
+    curated = enrich(valid.where(third == 2))
+    for number in (0, 1):
+        curated.write.parquet(f"{folder}/curated-{number}")
+        valid.where(third == number).write.parquet(f"{folder}/late-{number}")
+        curated = with_late_rows(spark.read.parquet(f"{folder}/curated-{number}"), spark.read.parquet(f"{folder}/late-{number}"))
+    return curated.select("transaction_id", "customer_id", *VELOCITY_COLUMNS, "risk_tier")
+
+
 def time_features(spark, sf_dir):
     timed = add_time_features(enforce_schema(fx.events_raw(spark, sf_dir)))
     return timed.select("transaction_id", "event_time_ts", "hour_of_day", "day_of_week", "week_of_year")
@@ -557,6 +570,7 @@ QUERIES = {
     "velocity_features": velocity_features,
     "velocity_approx": velocity_approx,
     "velocity_with_history": velocity_with_history,
+    "velocity_late_rows": velocity_late_rows,
     "risk_tier": risk_tier,
     "merchant_segment": merchant_segment_literal,
     "merchant_segment_join": merchant_segment_join,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardflux.model import DAY, HOUR, Limits
 from cardflux.operators.enrichment import add_merchant_segment, add_merchant_segment_from, add_risk_tier, add_time_features, enrich
+from cardflux.operators.late import revised_rows, with_late_rows
 from cardflux.operators.validation import enforce_schema
 from cardflux.operators.velocity import BLOCK, add_velocity_features
 from cardflux.model import CURATED_COLUMNS, SEGMENT_OF_CATEGORY
@@ -174,3 +175,43 @@ def test_enriched_columns(raw):
     enriched = enrich(enforce_schema(raw(record())))
     assert enriched.columns == CURATED_COLUMNS
     assert enriched.count() == 1
+
+
+def test_late_rows_in_any_order_give_the_rows_of_one_batch(spark, raw, tmp_path):
+    rng = random.Random(31)
+    events = [
+        record(transaction_id=uuid(n), customer_id=f"C{rng.randrange(4)}", merchant_id=f"M{rng.randrange(6)}", amount_usd=float(rng.randrange(1, 900)),
+               event_time=f"2025-04-{1 + rng.randrange(5):02d}T{rng.choice([0, 11, 12, 22, 23]):02d}:{rng.randrange(60):02d}:00+00:00")
+        for n in range(240)
+    ]
+    whole = enforce_schema(raw(*events))
+    want = sorted(enrich(whole).collect())
+    batches = [events[:60], events[60:200], events[200:]]
+    for order in ((0, 1, 2), (2, 0, 1)):
+        curated = enrich(enforce_schema(raw(*batches[order[0]])))
+        for number in order[1:]:
+            path = str(tmp_path / f"{order}-{number}")
+            curated.write.parquet(path)
+            curated = with_late_rows(spark.read.parquet(path), enforce_schema(raw(*batches[number])))
+        assert sorted(curated.select(*enrich(whole).columns).collect()) == want
+
+
+def test_only_the_customers_and_days_in_reach_are_revised(spark, raw):
+    old = [record(transaction_id=uuid(n), customer_id=c, event_time=f"2025-04-0{d}T12:00:00+00:00") for n, (c, d) in enumerate([("A", 1), ("A", 2), ("A", 3), ("A", 5), ("B", 3)])]
+    curated = enrich(enforce_schema(raw(*old)))
+    late = enforce_schema(raw(record(transaction_id=uuid(99), customer_id="A", event_time="2025-04-02T11:30:00+00:00")))
+    revised = {r["transaction_id"]: r["txn_count_last_1h"] for r in revised_rows(curated, late).collect()}
+    assert revised == {uuid(99): 1, uuid(1): 2, uuid(2): 1}
+    assert with_late_rows(curated, late).count() == 6
+
+
+def test_sketches_follow_the_exact_count_of_a_busy_hour(spark):
+    """Two thousand merchants of one customer around a pane's border."""
+    border = START - START % (HOUR + 1) + 2 * (HOUR + 1)
+    rows = [("C", f"M{n % 2000}", 1.0, border - HOUR + n) for n in range(7000)]
+    df = activity(spark, rows)
+    exact = {r["transaction_id"]: r["distinct_merchants_1h"] for r in add_velocity_features(df).collect()}
+    sketched = {r["transaction_id"]: r["distinct_merchants_1h"] for r in add_velocity_features(df, approx=True).collect()}
+    assert max(exact.values()) == 2000 and sketched.keys() == exact.keys()
+    assert all(abs(sketched[t] - n) <= 0.06 * n for t, n in exact.items())
+    assert sum(sketched[t] == n for t, n in exact.items()) > 100
