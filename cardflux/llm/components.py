@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from cardflux.llm.store import stored
+from cardflux.llm.store import discard, stored
 
 #: Edges that a task holds before it shrinks them.
 HELD = 1_000_000
@@ -70,11 +70,14 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: the lesser neighbours of a node move to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("edge"))
-        edges = stored(_shrunk(small.select("edge.*").where("a <> b")), "small-star")
+        before, edges = edges, stored(_shrunk(small.select("edge.*").where("a <> b")), "small-star")
+        discard(before, large)
         seen = Observation()
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("up")), F.struct(F.col("b").alias("node"), F.lit(None).cast("long").alias("up")))).alias("end"))
         nodes = ends.select("end.*").groupBy("node").agg(F.min("up").alias("least"), F.max("up").alias("most"), F.count_if(F.col("up").isNull()).alias("below"))
         unsettled = F.count_if(F.col("least").isNotNull() & ((F.col("below") > 0) | (F.col("least") != F.col("most"))))
         nodes = stored(nodes.observe(seen, unsettled.alias("unsettled")).select("node", F.coalesce("least", "node").alias("root")), "roots")
         if not seen.get["unsettled"]:
+            discard(edges)
             return nodes
+        discard(nodes)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardflux.llm.components import components
-from cardflux.llm.store import require, stored
+from cardflux.llm.store import discard, require, stored
 from cardflux.llm.textbytes import Words, mix, shingles, stream, text_slices
 
 SHINGLE = 5
@@ -230,8 +230,10 @@ def _rooted(docs: DataFrame, size: int, bands: int, rows: int, threshold: int) -
     members = stored(buckets.join(met, "bucket"), "buckets")
     weights = members.groupBy("node").agg(F.sum("n_members").alias("weight"))
     weighed = stored(members.join(weights, "node"), "weighed-buckets")
+    discard(members)
     centres = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node", "n")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     rayed = stored(weighed.drop("weight").join(centres, "bucket"), "stars")
+    discard(weighed)
 
     near_in_size = 100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")
     first = rayed.where("node <> hub").where(near_in_size).select(F.col("hub").alias("a"), F.col("node").alias("b"))
@@ -248,8 +250,10 @@ def _rooted(docs: DataFrame, size: int, bands: int, rows: int, threshold: int) -
     hub_roots = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     opened = rooted.join(split, "bucket", "left_semi").where("node <> hub").join(hub_roots, "hub", "left")
     opened = stored(opened.select("bucket", "node", "n", "root", "n_members", (F.col("root") == F.coalesce("hub_root", "hub")).alias("central")), "open-members")
+    discard(rayed)
     edges = stored(_possible(opened.join(sets.select("node", "bins"), "node"), threshold), "possible-links")
     found = stored(_confirmed(edges, sets, threshold), "more-links")
+    discard(sets, opened, edges, first, wanted)
     if not found.isEmpty():
         roots = stored(components(links.unionByName(found)), "roots")
     return signed, nodes, roots

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardflux.llm.store import require, stored
+from cardflux.llm.store import discard, require, stored
 from cardflux.llm.textbytes import Ranges, text_slices
 
 LENGTH = 200
@@ -265,6 +265,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     anchors = occurring.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("fragment").alias("x"), F.max("fragment").alias("y"))
     shared = anchors.where("n > 1").select("anchor", (F.col("x") == F.col("y")).alias("alike"))
     repeated = stored(occurring.join(shared, "anchor"), "shared-fragments")
+    discard(occurring)
     alike = repeated.where("alike").select("uid", F.col("start").alias("low"), (F.col("start") + F.col("windows")).alias("high"))
     mixed = repeated.where("not alike")
     first = F.min(F.struct("uid", "start", "windows"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardflux.llm.components import components
-from cardflux.llm.store import require, stored
+from cardflux.llm.store import discard, require, stored
 from cardflux.llm.textbytes import LOWER, SPACES, split_ranges, text_slices
 
 SHINGLE = 3
@@ -168,6 +168,7 @@ def linked(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Da
     members = dealt.join(met, "cell").withColumn("chunks", F.ceil(F.col("n") / block))
     blocks = members.groupBy("cell", "chunks", F.pmod(F.xxhash64("fp"), "chunks").alias("chunk")).agg(F.collect_list("fp").alias("fps"))
     blocks = stored(blocks, "cell-blocks")
+    discard(dealt)
     alone = blocks.where(F.size("fps") > 1).select(F.col("fps").alias("x"), F.lit(None).cast("array<long>").alias("y"))
     many = blocks.where("chunks > 1")
     # Every block goes to the later blocks of its cell; rows are placed by cell and block, so a hot cell is many tasks.

@@ -28,7 +28,20 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(folder)
+    frame = spark.read.schema(df.schema).parquet(folder)
+    frame._stored_in = folder
+    return frame
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored steps that the next stored step has replaced.
+
+    Only steps that no frame still to be run reads may be given: what is stored later does not lead back to them.
+    """
+    for frame in frames:
+        hadoop = frame.sparkSession._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(frame._stored_in)
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
