@@ -16,9 +16,10 @@ features are computed on aggregates instead:
    blocks are independent and a window partition holds at most one row per second of a block and
    its lookback, however many rows the customer has;
 3. visits to a merchant without a gap of more than an hour form a stretch. A stretch adds one
-   merchant from its first second until an hour after its last, so a running total of +1/-1 steps
-   is the exact distinct count, with no sets;
-4. steps, transactions and spend per (customer, second), again combined before the shuffle;
+   merchant from its first second until an hour after its last, so the stretches begun until now
+   less those that ended before the hour are the exact distinct count, with no sets;
+4. begun and ended stretches, transactions and spend per (customer, second), again combined before
+   the shuffle; no row is added for the end of a stretch;
 5. running totals at t minus running totals just before the frame. Amounts are summed as decimals,
    which makes the difference exact and the outcome independent of task order.
 
@@ -95,8 +96,9 @@ def rolling_features(activity: DataFrame, approx: bool = False) -> DataFrame:
         timeline = _reaching_blocks(dated.groupBy("customer_id", "_second").agg(txns, spend))
         merchants = F.lit(None).cast("long")
     else:
-        timeline = _steps_in_time(_reaching_blocks(dated.groupBy("customer_id", "_second", "merchant_id").agg(txns, spend)))
-        merchants = F.sum("_step").over(in_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        timeline = _stretches_in_time(_reaching_blocks(dated.groupBy("customer_id", "_second", "merchant_id").agg(txns, spend)))
+        begun, ended_before = _running_totals("_opens", in_time)[0], _running_totals("_closes", in_time, HOUR)[1]
+        merchants = begun - ended_before
 
     own_second = (F.col("_txns") > 0) & (_block_of(F.col("_second")) == F.col("_block"))
     features = (
@@ -150,35 +152,29 @@ def _reaching_blocks(df: DataFrame) -> DataFrame:
     return df.withColumn("_block", F.explode(F.sequence(_block_of(second), _block_of(second + DAY), F.lit(BLOCK).cast("long"))))
 
 
-def _steps_in_time(visits: DataFrame) -> DataFrame:
-    """Per (customer, block, second): transactions, spend, and by how much the number of merchants changes.
+def _stretches_in_time(visits: DataFrame) -> DataFrame:
+    """Per (customer, block, second): transactions, spend, and how many stretches of visits to a merchant begin and end.
 
-    A visit that opens a stretch adds a merchant; one that closes it takes the merchant away once
-    its last hour is over. A visit without a merchant changes no merchant count.
+    A visit without a merchant belongs to no stretch.
     """
     in_time = Window.partitionBy("customer_id", "merchant_id", "_block").orderBy("_second")
     second, named = F.col("_second"), F.col("merchant_id").isNotNull()
     neighbours = visits.withColumns({"_before": F.lag(second).over(in_time), "_after": F.lead(second).over(in_time)})
     opens = named & (F.col("_before").isNull() | (second - F.col("_before") > HOUR))
     closes = named & (F.col("_after").isNull() | (F.col("_after") - second > HOUR))
-    here = F.struct(second.alias("_second"), "_txns", "_spend", opens.cast("int").alias("_step"))
-    later = F.struct(
-        (second + HOUR + 1).alias("_second"),
-        F.lit(0).cast("long").alias("_txns"),
-        F.lit(None).cast(neighbours.schema["_spend"].dataType).alias("_spend"),
-        F.lit(-1).alias("_step"),
-    )
-    changes = F.when(closes, F.array(here, later)).otherwise(F.array(here))
-    return (
-        neighbours.select("customer_id", "_block", F.explode(changes).alias("_change"))
-        .select("customer_id", "_block", "_change.*")
-        .groupBy("customer_id", "_block", "_second")
-        .agg(*[F.sum(name).alias(name) for name in ("_txns", "_spend", "_step")])
+    return neighbours.groupBy("customer_id", "_block", "_second").agg(
+        F.sum("_txns").alias("_txns"), F.sum("_spend").alias("_spend"), F.count_if(opens).alias("_opens"), F.count_if(closes).alias("_closes")
     )
 
 
-def _trailing_sum(column: str, in_time, reach: int) -> Column:
-    """Sum over [t-reach, t] as a difference of two running totals, linear in the rows."""
+def _running_totals(column: str, in_time, reach: int = 0) -> tuple[Column, Column]:
+    """The sum until now, and that until before the frame [t-reach, t]."""
     until_now = F.sum(column).over(in_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     before_frame = F.sum(column).over(in_time.rangeBetween(Window.unboundedPreceding, -(reach + 1)))
-    return until_now - F.coalesce(before_frame, F.lit(0))
+    return until_now, F.coalesce(before_frame, F.lit(0))
+
+
+def _trailing_sum(column: str, in_time, reach: int) -> Column:
+    """Sum over [t-reach, t] as a difference of two running totals, linear in the rows."""
+    until_now, before_frame = _running_totals(column, in_time, reach)
+    return until_now - before_frame

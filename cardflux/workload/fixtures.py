@@ -80,16 +80,18 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineitem_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate")
-    # Lines and orders grow together, so neither side of their join is ever broadcast.
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").hint("merge")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    suppliers = table(spark, sf_dir, "supplier").join(
-        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
-    )
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    # Customers go to the orders, of which there are fewer than lines. Lines and orders grow together, so neither side of their
+    # join is ever broadcast. Suppliers come as they are read, as Spark knows the size of a table but not that of a join:
+    # where they are small the lines are shuffled for their orders only.
+    placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).hint("merge")
     joined = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(suppliers.select("s_suppkey", "s_name", "s_nationkey", "n_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+        lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
     )
     columns = {
         "transaction_id": uuid_text(F.concat_ws("-", "l_orderkey", "l_linenumber")),

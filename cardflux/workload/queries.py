@@ -39,6 +39,8 @@ FIRST_BATCH_BEFORE = "1998-07-01"
 FIRST_EVENTS_BEFORE = dt.date(2024, 1, 16)
 KNOWN_DATES_BEFORE = dt.date(2000, 6, 30)
 VELOCITY_COLUMNS = ["txn_count_last_1h", "distinct_merchants_1h", "spend_velocity_24h", "cross_merchant_flag"]
+#: Ids are digits at random, which only an entropy code makes shorter.
+COMPACT = "zstd"
 CURATED_KEYS = ["transaction_id", "customer_id", "merchant_id"]
 
 
@@ -81,14 +83,14 @@ def _lines_valid(spark, sf_dir):
     """The features scan their input twice (rolling values, then rows): storing the joined lines as
     landing files first keeps the join from running twice."""
     folder = scratch_folder(spark, "lines-landing")
-    fx.lineitem_raw(spark, sf_dir).write.parquet(folder)
+    fx.lineitem_raw(spark, sf_dir).write.parquet(folder, compression=COMPACT)
     return split_flagged(_flag(landing.read_landing(spark, folder, "parquet")))[0]
 
 
 def _staged(spark, curated: DataFrame, purpose: str) -> DataFrame:
     """Curated rows written once and read back: dimensions and fact each scan them, pruned to their columns."""
     folder = scratch_folder(spark, purpose)
-    curated.write.parquet(folder)
+    curated.write.parquet(folder, compression=COMPACT)
     return tables.read_stage(spark, folder)
 
 
@@ -109,7 +111,7 @@ def _load(spark: SparkSession, stage: DataFrame, dates: tuple[dt.date, dt.date],
     folder = scratch_folder(spark, "star")
 
     def kept(frame: DataFrame, name: str) -> DataFrame:
-        frame.write.parquet(f"{folder}/{name}")
+        frame.write.parquet(f"{folder}/{name}", compression=COMPACT)
         return spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
 
     star = Star(

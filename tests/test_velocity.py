@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardflux.model import DAY, HOUR, Limits
+from cardflux.operators import velocity
 from cardflux.operators.enrichment import add_merchant_segment, add_merchant_segment_from, add_risk_tier, add_time_features, enrich
 from cardflux.operators.late import revised_rows, with_late_rows
 from cardflux.operators.validation import enforce_schema
@@ -215,3 +216,13 @@ def test_sketches_follow_the_exact_count_of_a_busy_hour(spark):
     assert max(exact.values()) == 2000 and sketched.keys() == exact.keys()
     assert all(abs(sketched[t] - n) <= 0.06 * n for t, n in exact.items())
     assert sum(sketched[t] == n for t, n in exact.items()) > 100
+
+
+def test_the_timeline_has_one_row_per_second_with_visits(spark):
+    """The end of a stretch of visits is no row of its own, so nothing but the seconds of rows is shuffled."""
+    rows = [("c", f"m{number}", 1.0, START + number * 2 * HOUR) for number in range(20)]
+    activity_rows = activity(spark, rows).withColumn("_second", F.unix_timestamp("event_time_ts"))
+    visits = activity_rows.groupBy("customer_id", "merchant_id", "_second").agg(F.count("*").alias("_txns"), F.sum("amount_usd").alias("_spend"))
+    timeline = velocity._stretches_in_time(velocity._reaching_blocks(visits)).collect()
+    assert len(timeline) == 20
+    assert all(r["_opens"] == r["_closes"] == 1 for r in timeline)
