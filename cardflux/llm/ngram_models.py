@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardflux.llm.store import require
+from cardflux.llm.labelled import marked
 from cardflux.llm.textbytes import Words, grams, text_slices
 
 BUCKETS = 1 << 16
-#: Pseudo-counts of each bucket in both models, at the size of the trusted sample.
+#: Pseudo-counts of each bucket in both models, at the size of the trusted text.
 SMOOTHING = 5.0
 
 
@@ -25,24 +25,25 @@ def hashed_grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return buckets.astype(np.int64), np.concatenate([words.text, words.text[:-1][inner]])
 
 
-def log_ratios(docs: DataFrame, trusted_ids: np.ndarray) -> np.ndarray:
-    """``log p_trusted - log p_all`` per bucket; the counts of all text cover every document.
+def log_ratios(docs: DataFrame, trusted_ids: DataFrame | np.ndarray) -> np.ndarray:
+    """``log p_trusted - log p_all`` per bucket; the counts of all text cover every document, those of trusted text all of it.
 
-    ``trusted_ids`` is a bounded sample. Each task sends one row per bucket that it met.
+    ``trusted_ids`` has a row per id. Each task sends one row per bucket that it met.
     """
+    if isinstance(trusted_ids, np.ndarray):
+        trusted_ids = docs.sparkSession.createDataFrame([(int(i),) for i in np.unique(trusted_ids)], "doc_id long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         everything, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for rows, data, bounds in text_slices(batches):
             buckets, owners = hashed_grams(Words(data, bounds))
             everything += np.bincount(buckets, minlength=BUCKETS)
-            ids = rows.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            known = np.isin(ids, trusted_ids) & rows.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            known = rows.column("trusted").to_numpy(zero_copy_only=False)
             trusted += np.bincount(buckets[known[owners]], minlength=BUCKETS)
         met = np.flatnonzero(everything)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(everything[met]), pa.array(trusted[met])], names=["bucket", "everything", "trusted"])
 
-    counted = require(docs, ["doc_id", "text"]).mapInArrow(count, "bucket int, everything long, trusted long")
+    counted = marked(docs, trusted_ids, "trusted").mapInArrow(count, "bucket int, everything long, trusted long")
     table = np.array(counted.groupBy("bucket").agg(F.sum("everything"), F.sum("trusted")).collect(), np.float64).reshape(-1, 3)
     everything, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
     everything[table[:, 0].astype(int)], trusted[table[:, 0].astype(int)] = table[:, 1], table[:, 2]

@@ -1,8 +1,8 @@
 """Quality rules: base counts, and a length-normalised log-likelihood ratio of trusted against all text.
 
 The trusted model is a multinomial over hashed words and word pairs of labelled documents of good quality
-(a bounded sample); the other one covers every document. A document's score is the mean log ratio of its grams. The threshold is
-the score below which ``TRUSTED_LOSS`` of held-out trusted documents fall, so each document's verdict
+(half of them, by a hash of the id; the others are held out); the other one covers every document. A document's score is the mean log ratio of its grams. The threshold is
+the score below which ``TRUSTED_LOSS`` of all held-out trusted documents fall, so each document's verdict
 depends on its own text and the models alone.
 
 Defined cases: a NULL text counts as none: all counts are 0 and the base rules fail; repeated rows get
@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardflux.llm.labelled import among, sample_ids
+from cardflux.llm.labelled import ids_where, marked, quantile
 from cardflux.llm.ngram_models import log_ratios, mean_ratio
-from cardflux.llm.store import require
+from cardflux.llm.store import require, stored
 from cardflux.llm.textbytes import SPACES, Words, grams, mix, split_ranges, text_slices
 
-MAX_TRUSTED = 20_000
 TRUSTED_LOSS = 0.005
 WINDOW = 8
 LEAST_WORDS = 20
@@ -81,14 +80,17 @@ class Model:
     threshold: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> Model:
-    """Models and threshold. Half of the trusted sample counts, the other half places the threshold."""
-    trusted = sample_ids(labels, "quality > 0 and toxic = 0", max_trusted, seed=5)
-    model = Model(log_ratios(docs, trusted[::2]), -np.inf)
-    scored = among(require(docs, ["doc_id", "text"]), trusted[1::2]).select(verdict(F.col("text"), model).alias("v"))
-    held_out = np.array([row[0] for row in scored.where("not v.base_failed").select("v.log_ratio").collect()])
-    if len(held_out):
-        model.threshold = float(np.quantile(held_out, TRUSTED_LOSS))
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Models and threshold, from all trusted documents: one half of them counts, the other half places the threshold."""
+    trusted = ids_where(labels, "quality > 0 and toxic = 0")
+    counts = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == 0
+    model = Model(log_ratios(docs, trusted.where(counts)), -np.inf)
+    others = marked(docs, trusted.where(~counts), "held_out").where("held_out")
+    scored = others.select(verdict(F.col("text"), model).alias("v")).where("not v.base_failed").select("v.log_ratio")
+    scored = stored(scored, "held-out-ratios")
+    n = scored.count()
+    if n:
+        model.threshold = quantile(scored, "log_ratio", TRUSTED_LOSS, n)
     return model
 
 

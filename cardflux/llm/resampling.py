@@ -18,16 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardflux.llm.labelled import judged, sample_ids
+from cardflux.llm.labelled import fixed_point, ids_where, judged, kth_largest
 from cardflux.llm.ngram_models import log_ratios, mean_ratio
 from cardflux.llm.store import require, stored
 from cardflux.llm.textbytes import Words, text_slices
 
 GRAMS = 200.0
-MAX_TRUSTED = 20_000
-#: A key has this many fractional bits, and is counted by so many bits per pass.
-FRACTION = 24
-DIGIT = 16
 
 
 def log_weight(text: Column, ratios: np.ndarray) -> Column:
@@ -41,47 +37,32 @@ def log_weight(text: Column, ratios: np.ndarray) -> Column:
     return weigh(text)
 
 
-def _threshold(rows: DataFrame, key: str, k: int) -> tuple[int, int]:
-    """The k-th largest value of a non-negative 48-bit integer column, and how many rows lie above it."""
-    prefix, above = 0, 0
-    for shift in range(48 - DIGIT, -1, -DIGIT):
-        digit = F.shiftright(key, shift)
-        here = rows.where(F.shiftright(key, shift + DIGIT) == prefix).groupBy(digit.alias("digit")).count()
-        for value, count in sorted(here.collect(), reverse=True):
-            if above + count >= k:
-                prefix = value
-                break
-            above += count
-    return prefix, above
-
-
 def top_k(rows: DataFrame, key: str, tie: str, k: int) -> DataFrame:
     """``rows`` with ``selected``: the k largest of ``key``, ties to the smaller ``tie`` (48 bits each)."""
     if k <= 0:
         return rows.withColumn("selected", F.lit(False))
-    cut, above = _threshold(rows, key, k)
+    cut, above = kth_largest(rows, key, k)
     # Among rows at the cut the smallest ties win: the largest of their complements.
     level = rows.where(F.col(key) == cut).withColumn("against", F.lit((1 << 48) - 1) - F.col(tie))
-    last, _ = _threshold(level, "against", k - above)
+    last, _ = kth_largest(level, "against", k - above)
     wins = (F.col(key) > cut) | ((F.col(key) == cut) & (F.lit((1 << 48) - 1) - F.col(tie) >= last))
     return rows.withColumn("selected", wins)
 
 
-def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, seed: int = 6, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, seed: int = 6) -> DataFrame:
     """``doc_id, log_weight, sampling_key, selected`` of every row; a ``fraction`` of the rows is selected.
 
     By default that is the share of good quality among the labelled documents.
     """
-    trusted = sample_ids(labels, "quality > 0 and toxic = 0", max_trusted, seed=seed)
     if fraction is None:
         fraction = judged(labels).agg(F.avg(F.when(F.col("quality") > 0, 1.0).otherwise(0.0))).first()[0]
         fraction = 1.0 if fraction is None else fraction
-    ratios = log_ratios(docs, trusted)
+    ratios = log_ratios(docs, ids_where(labels, "quality > 0 and toxic = 0"))
     draw = (F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) + 0.5) / F.lit(2.0**53)
     weighed = require(docs, ["doc_id", "text"]).select("doc_id", log_weight(F.col("text"), ratios).alias("log_weight"), (-F.log(-F.log(draw))).alias("gumbel"))
     keyed = weighed.withColumn("sampling_key", F.col("log_weight") + F.col("gumbel"))
     # Fixed point, so that keys can be counted by their bits; weights beyond +-2**22 do not occur.
-    fixed = F.least(F.greatest(F.round((F.col("sampling_key") + 2.0**22) * 2.0**FRACTION), F.lit(0.0)), F.lit(2.0**48 - 1)).cast("long")
+    fixed = fixed_point(F.col("sampling_key"))
     tie = F.coalesce(F.least(F.greatest(F.col("doc_id"), F.lit(0)), F.lit((1 << 48) - 1)), F.lit((1 << 48) - 1)).cast("long")
     rows = stored(keyed.select("doc_id", "log_weight", "sampling_key", fixed.alias("fixed"), tie.alias("tie")), "weights")
     k = round(rows.count() * fraction)

@@ -6,7 +6,7 @@
 4. repeated passages: later copies of a passage are cut out of their texts;
 5. packing: what is left is tokenised and packed into training sequences.
 
-Classifiers are fitted on a bounded sample of labelled documents among a stage's own input. Columns other than ``doc_id`` and
+Classifiers are fitted on all labelled documents among a stage's own input. Columns other than ``doc_id`` and
 ``text`` are passed on as they are, whatever their names, except ``n_chars``, which follows its text.
 """
 

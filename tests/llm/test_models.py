@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cardflux.llm import postings, quality_rules, resampling, toxicity
+from cardflux.llm import labelled, postings, quality_rules, resampling, toxicity
 from cardflux.llm.store import table
 
 TABLES = "/root/testdata/sf0.01"
@@ -72,6 +72,40 @@ def test_ordinal_regression_orders_grades():
     assert (np.diff(thetas) > 0).all() and np.abs(severity - grade).mean() < 0.25
 
 
+def test_the_toxicity_fit_counts_every_labelled_document(table_of, labels_of, monkeypatch):
+    toxic, clean = 3_300, 4_400
+    docs = table_of([(i, f"vile filth word{i % 7}" if i < toxic else f"calm talk word{i % 7}") for i in range(toxic + clean)])
+    added, seen = toxicity._added, []
+    monkeypatch.setattr(toxicity, "_added", lambda *a: seen.append(added(*a)) or seen[-1])
+    monkeypatch.setattr(toxicity, "_fitted", lambda summed, n, squares: (seen.append(n), (np.zeros(len(squares)), np.arange(3.0)))[1])
+    toxicity.fit(docs, labels_of([(i, 1, int(i < toxic)) for i in range(toxic + clean)]))
+    assert list(seen[0][-3:]) == [toxic, clean * 4 // 5, clean // 5] and seen[1] == toxic + clean * 4 // 5
+
+
+def test_slopes_of_the_ordinal_loss_equal_differences():
+    draw = np.random.default_rng(3)
+    n, width = 40, 6
+    row, column, value = draw.integers(0, n, 200), draw.integers(0, width, 200), draw.random(200)
+    x, grade = draw.normal(0, 0.5, width + 3), draw.integers(0, 4, n)
+    at = lambda x: toxicity.loss_and_gradient(x[:width], x[width:], n, row, column, value, grade)
+    steps = np.eye(width + 3) * 1e-6
+    assert np.allclose([(at(x + step)[0] - at(x - step)[0]) / 2e-6 for step in steps], at(x)[1:], atol=1e-4)
+
+
+def test_trusted_text_is_that_of_every_trusted_document(shipped):
+    labels = shipped.range(21_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    docs = shipped.range(21_000).selectExpr("id AS doc_id", "CASE WHEN id < 5 THEN NULL ELSE 'one two' END AS text")
+    marked = labelled.marked(docs, labelled.ids_where(labels, "quality > 0"), "trusted")
+    assert marked.where("trusted").count() == 21_000
+
+
+def test_a_quantile_is_that_of_numpy(shipped):
+    values = np.random.default_rng(4).normal(0, 3, 501)
+    rows = shipped.createDataFrame([(float(v),) for v in values], "v double")
+    for share in (0.0, 0.005, 0.5, 0.999, 1.0):
+        assert abs(labelled.quantile(rows, "v", share, 501) - np.quantile(values, share)) < 1e-6
+
+
 def test_top_k_is_exact_with_ties(shipped):
     rows = shipped.range(1000).selectExpr("id AS tie", "(id * 7919) % 50 AS key")
     got = {r["tie"] for r in resampling.top_k(rows, "key", "tie", 333).where("selected").collect()}
