@@ -81,10 +81,12 @@ def _events_curated(spark, sf_dir):
 
 def _lines_valid(spark, sf_dir):
     """The features scan their input twice (rolling values, then rows): storing the joined lines as
-    landing files first keeps the join from running twice."""
+    landing files first keeps the join from running twice. Lines are judged before they are stored, so that
+    those to be rejected, most of which their amount tells, are neither joined nor written nor judged twice."""
     folder = scratch_folder(spark, "lines-landing")
-    fx.lineitem_raw(spark, sf_dir).write.parquet(folder, compression=COMPACT)
-    return split_flagged(_flag(landing.read_landing(spark, folder, "parquet")))[0]
+    raw = fx.lineitem_raw(spark, sf_dir)
+    split_flagged(_flag(raw))[0].select(*raw.columns).write.parquet(folder, compression=COMPACT)
+    return enforce_schema(landing.read_landing(spark, folder, "parquet"))
 
 
 def _staged(spark, curated: DataFrame, purpose: str) -> DataFrame:

@@ -226,3 +226,13 @@ def test_the_timeline_has_one_row_per_second_with_visits(spark):
     timeline = velocity._stretches_in_time(velocity._reaching_blocks(visits)).collect()
     assert len(timeline) == 20
     assert all(r["_opens"] == r["_closes"] == 1 for r in timeline)
+
+
+def test_visits_of_a_block_are_shuffled_once_after_they_are_combined(spark):
+    activity_rows = activity(spark, [("c", "m", 1.0, START)]).withColumn("_second", F.unix_timestamp("event_time_ts"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = velocity.rolling_features(activity_rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") == 2
