@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardflux.llm.store import require
+from cardflux.llm.store import collected, require
 
 #: Real numbers are counted as integers with this many fractional bits, by so many bits per pass.
 FRACTION = 24
@@ -24,8 +24,11 @@ def ids_where(labels: DataFrame, condition: Column | str) -> DataFrame:
 
 
 def marked(docs: DataFrame, ids: DataFrame, mark: str) -> DataFrame:
-    """``doc_id`` and ``text`` of every document, and whether its id is among ``ids``, which holds each once."""
-    known = ids.select(F.col("doc_id").alias("_marked_id"))
+    """``doc_id`` and ``text`` of every document, and whether its id is among ``ids``, which holds each once.
+
+    Labels grow with the documents, so they are never broadcast: the texts are shuffled once.
+    """
+    known = ids.select(F.col("doc_id").alias("_marked_id")).hint("merge")
     found = require(docs, ["doc_id", "text"]).join(known, F.col("doc_id") == F.col("_marked_id"), "left")
     return found.select("doc_id", "text", F.col("_marked_id").isNotNull().alias(mark))
 
@@ -44,7 +47,7 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> tuple[int, int]:
     for shift in range(48 - DIGIT, -1, -DIGIT):
         digit = F.shiftright(key, shift)
         here = rows.where(F.shiftright(key, shift + DIGIT) == prefix).groupBy(digit.alias("digit")).count()
-        for value, count in sorted(here.collect(), reverse=True):
+        for value, count in sorted(collected(here), reverse=True):
             if above + count >= k:
                 prefix = value
                 break

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardflux.llm.labelled import marked
+from cardflux.llm.store import collected
 from cardflux.llm.textbytes import Words, grams, text_slices
 
 BUCKETS = 1 << 16
@@ -44,7 +45,7 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame | np.ndarray) -> np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(everything[met]), pa.array(trusted[met])], names=["bucket", "everything", "trusted"])
 
     counted = marked(docs, trusted_ids, "trusted").mapInArrow(count, "bucket int, everything long, trusted long")
-    table = np.array(counted.groupBy("bucket").agg(F.sum("everything"), F.sum("trusted")).collect(), np.float64).reshape(-1, 3)
+    table = np.array(collected(counted.groupBy("bucket").agg(F.sum("everything"), F.sum("trusted"))), np.float64).reshape(-1, 3)
     everything, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
     everything[table[:, 0].astype(int)], trusted[table[:, 0].astype(int)] = table[:, 1], table[:, 2]
     if not trusted.sum():

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardflux.llm.labelled import judged, quantile, value_at
-from cardflux.llm.store import discard, require, stored
+from cardflux.llm.store import collected, discard, require, stored
 from cardflux.llm.textbytes import LOWER, Ranges, split_ranges, text_slices
 
 BUCKETS = 1 << 18
@@ -92,7 +92,7 @@ def _stored_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
             kinds = [rows.column("toxic"), rows.column("held_out")]
             yield pa.RecordBatch.from_arrays([*kinds, pa.array(counts.astype(np.int64)), pa.array(gaps, pa.binary()), pa.array(packed, pa.binary())], names=["toxic", "held_out", "n", "gaps", "times"])
 
-    known = judged(labels).select(F.col("doc_id").alias("_labelled_id"), (F.col("toxic") > 0).alias("toxic"))
+    known = judged(labels).select(F.col("doc_id").alias("_labelled_id"), (F.col("toxic") > 0).alias("toxic")).hint("merge")
     labelled = require(docs, ["doc_id", "text"]).join(known, F.col("doc_id") == F.col("_labelled_id"))
     held_out = (F.pmod("doc_id", F.lit(5)) == 0) & ~F.col("toxic")
     return labelled.select("text", "toxic", held_out.alias("held_out")).mapInArrow(extract, "toxic boolean, held_out boolean, n long, gaps binary, times binary")
@@ -124,13 +124,17 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[Unpacked]:
             yield Unpacked(*kinds, row, bucket, np.concatenate(times) / n[row])
 
 
-def _added(rows: DataFrame, measure: Callable[[Unpacked], np.ndarray], width: int) -> np.ndarray:
-    """The sum of a vector over all documents. Vectors are added in the order of their bytes, so that a repeated task adds alike."""
+def _added(rows: DataFrame, measure: Callable[..., np.ndarray], width: int, *given) -> np.ndarray:
+    """The sum of a vector over all documents. Vectors are added in the order of their bytes, so that a repeated task adds alike.
+
+    ``given`` goes to ``measure`` as a broadcast that ends with the pass: Spark keeps on every disk what a function carries by itself.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(given)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for part in _unpack(batches):
-            total += measure(part)
+            total += measure(part, *shared.value)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["vector"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +142,11 @@ def _added(rows: DataFrame, measure: Callable[[Unpacked], np.ndarray], width: in
         total = sum((np.frombuffer(v) for v in vectors), np.zeros(width))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["vector"])
 
-    sums = rows.mapInArrow(measured, "vector binary").repartition(ADDERS).mapInArrow(add, "vector binary").collect()
-    return sum((np.frombuffer(v) for v in sorted(bytes(row[0]) for row in sums)), np.zeros(width))
+    sums = rows.mapInArrow(measured, "vector binary").repartition(ADDERS).mapInArrow(add, "vector binary")
+    try:
+        return sum((np.frombuffer(v) for v in sorted(bytes(row[0]) for row in collected(sums))), np.zeros(width))
+    finally:
+        shared.destroy()
 
 
 def _measured(rows: DataFrame, condition: str, measure: Callable[[Unpacked], np.ndarray]) -> DataFrame:
@@ -276,15 +283,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     cuts = [value_at(densities, "value", rank, toxic) if rank < toxic else np.inf for rank in thirds]
     scale = (separation(in_toxic, in_clean, toxic, clean) * SCALE)[columns]
 
+    def slopes(part: Unpacked, w: np.ndarray, free: np.ndarray, typical: np.ndarray, cuts: list[float], often: np.ndarray, place: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        grade = grades_of(part, typical, cuts)
+        used = often[part.bucket] & ~part.held_out[part.row]
+        renumber = np.cumsum(~part.held_out) - 1
+        column = place[part.bucket[used]]
+        return loss_and_gradient(w, free, int((~part.held_out).sum()), renumber[part.row[used]], column, part.rate[used] * scale[column], grade[~part.held_out])
+
     def summed(w: np.ndarray, free: np.ndarray) -> np.ndarray:
-        def slopes(part: Unpacked) -> np.ndarray:
-            grade = grades_of(part, typical, cuts)
-            used = often[part.bucket] & ~part.held_out[part.row]
-            renumber = np.cumsum(~part.held_out) - 1
-            column = place[part.bucket[used]]
-            return loss_and_gradient(w, free, int((~part.held_out).sum()), renumber[part.row[used]], column, part.rate[used] * scale[column], grade[~part.held_out])
-
-        return _added(fitting, slopes, 1 + len(w) + len(free))
+        return _added(fitting, slopes, 1 + len(w) + len(free), w, free, typical, cuts, often, place, scale)
 
     fitting = rows.where("not held_out")
     w, thetas = _fitted(summed, toxic + clean, squares[columns] * scale**2)

@@ -201,3 +201,35 @@ def test_rows_of_one_id_do_not_crowd_others_out_and_short_lists_are_made_up_for(
 
 def test_no_vectors(shipped):
     assert postings.search(shipped.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_passes_leave_no_shuffle_files_and_labels_are_not_broadcast(shipped):
+    """However many passes a fit makes, each deletes what it shuffled; a plan that changes with the size of the labels would not scale alike."""
+    from cardflux.llm import ngram_models
+
+    tracker = shipped._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    docs = shipped.createDataFrame([(n, f"word{n % 3} text") for n in range(40)], "doc_id long, text string")
+    ids = shipped.createDataFrame([(1,), (2,)], "doc_id long")
+    plan = labelled.marked(docs, ids, "trusted")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    before = tracker.shuffleStatuses().size()
+    ngram_models.log_ratios(docs, ids)
+    labelled.kth_largest(docs.selectExpr("doc_id AS key"), "key", 3)
+    assert tracker.shuffleStatuses().size() <= before
+
+
+def test_a_pass_of_the_fit_leaves_no_files(shipped):
+    """What goes to the tasks of a pass is gone with it, also where it is large."""
+    def size():
+        paths = [os.path.join(d, f) for d, _, names in os.walk(shipped.sparkContext._temp_dir) for f in names]
+        return sum(os.path.getsize(path) for path in paths if os.path.exists(path))
+
+    docs = shipped.createDataFrame([(n, "one two") for n in range(8)], "doc_id long, text string")
+    labels = shipped.createDataFrame([(n, 1, n % 2) for n in range(8)], "doc_id long, quality int, toxic int")
+    rows = toxicity._stored_features(docs, labels)
+    before = size()
+    table = np.random.default_rng(1).random(400_000)
+    for _ in range(3):
+        added = toxicity._added(rows, lambda part, given: np.array([part.toxic.sum() * given[5]]), 1, table)
+        assert np.allclose(added, 4 * table[5])
+    assert size() - before < 1_000_000
