@@ -11,7 +11,8 @@ distance is reached, all centroids are looked at. The ratio is the one that find
 
 Lists meet queries in blocks: both sides are cut into blocks of about ``BLOCK`` rows by the hash of their id, and every
 pair of blocks of one list is one row, scored by a task at a time. A list that holds a third of all vectors
-is many blocks. The result is rescored in double precision in a fixed order, so equal vectors have equal scores.
+is many blocks. A task keeps the ``k`` best of each query over all its pairs, so that a query has at most ``k`` rows per task
+however many lists it reads. The result is rescored in double precision in a fixed order, so equal vectors have equal scores.
 
 Defined cases: vectors that are NULL, zero, or hold NULL or non-finite components take no part, nor do rows
 with a NULL ``vec_id`` or vectors that are not of the table's most common length; of rows that share a ``vec_id`` the best
@@ -41,6 +42,8 @@ LEAST_PROBES = 16
 BLOCK = 1_024
 DEGREE = 24
 BEAM = 96
+#: Neighbours that a task holds for all its queries before it sends some on.
+HELD = 500_000
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -255,19 +258,48 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
-def _ranked(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest that the lists of each query hold."""
+def foremost(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each query among what several blocks gave, an id once, ties to the smaller id."""
+    query, vector, score = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.lexsort((-score, vector, query))
+    query, vector, score = query[order], vector[order], score[order]
+    once = np.ones(len(query), bool)
+    once[1:] = (query[1:] != query[:-1]) | (vector[1:] != vector[:-1])
+    query, vector, score = query[once], vector[once], score[once]
+    order = np.lexsort((vector, -score, query))
+    query, vector, score = query[order], vector[order], score[order]
+    near = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[near], vector[near], score[near]
+
+
+def _found(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: the ``k`` nearest of each query among the pairs of blocks that one task scores."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emitted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=["query_id", "vec_id", "score"])
+
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        kept, waiting = none, []
         for batch in batches:
             for i in range(batch.num_rows):
-                query, there = batch.column("queries")[i].values, batch.column("held")[i].values
-                found = best_of(query.field("vec_id").to_numpy(), matrix(query.field("v")), there.field("vec_id").to_numpy(), matrix(there.field("v")), k)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+                queries, there = batch.column("queries")[i].values, batch.column("held")[i].values
+                waiting.append(best_of(queries.field("vec_id").to_numpy(), matrix(queries.field("v")), there.field("vec_id").to_numpy(), matrix(there.field("v")), k))
+                if sum(len(w[0]) for w in waiting) >= HELD:
+                    kept, waiting = foremost([kept, *waiting], k), []
+                    if len(kept[0]) > HELD // 2:
+                        yield emitted()
+                        kept = none
+        kept = foremost([kept, *waiting], k)
+        yield emitted()
 
     pairs = _blocks(asked, "queries").join(_blocks(held, "held"), "list").select("queries", "held")
-    found = pairs.mapInArrow(score, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return pairs.mapInArrow(score, "query_id long, vec_id long, score double")
+
+
+def _ranked(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest that the lists of each query hold."""
+    once = _found(asked, held, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

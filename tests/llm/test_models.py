@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cardflux.llm import labelled, postings, quality_rules, resampling, toxicity
 from cardflux.llm.store import table
@@ -199,6 +200,28 @@ def test_rows_of_one_id_do_not_crowd_others_out_and_short_lists_are_made_up_for(
         assert len({r["vec_id"] for r in found if r["query_id"] == 20}) == 20
 
 
+def test_a_task_sends_the_nearest_of_a_query_once(shipped, monkeypatch):
+    """Whatever number of lists a query reads; a task that holds too much sends some on and loses none."""
+    draw = np.random.default_rng(8)
+    vectors = draw.normal(size=(400, 8))
+    places = [(n, i, v.tolist()) for i, v in enumerate(vectors) for n in (i % 16, (i + 1) % 16)]
+    asked = [(n, i, vectors[i].tolist()) for i in range(0, 400, 20) for n in range(16)]
+    sides = [shipped.createDataFrame(side, "list int, vec_id long, v array<double>").coalesce(1) for side in (asked, places)]
+    scores = vectors @ vectors.T
+    np.fill_diagonal(scores, -np.inf)
+    for most in (500_000, 10):
+        monkeypatch.setattr(postings, "HELD", most)
+        rows = postings._ranked(*sides, 5).collect()
+        for i in range(0, 400, 20):
+            found = sorted((r["rank"], r["vec_id"]) for r in rows if r["query_id"] == i)
+            assert [v for _, v in found] == np.argsort(-scores[i])[:5].tolist()
+    monkeypatch.undo()
+    sent = postings._found(*sides, 5).withColumn("task", F.spark_partition_id()).groupBy("task", "query_id").count().collect()
+    assert sent and max(r["count"] for r in sent) == 5
+    block = [(np.array([1, 1, 2]), np.array([7, 9, 7]), np.array([0.5, 0.5, 1.0])), (np.array([1, 2]), np.array([7, 3]), np.array([0.9, 1.0]))]
+    assert [c.tolist() for c in postings.foremost(block, 1)] == [[1, 2], [7, 3], [0.9, 1.0]]
+
+
 def test_no_vectors(shipped):
     assert postings.search(shipped.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
