@@ -10,8 +10,8 @@ Labels tell toxic from clean only. Grades are 0 for clean documents, and 1 to 3
 ones by the rate of features that are typical of them. The model is fitted on all labelled documents; a fifth of the clean
 ones is held out to place the rejection cut, so that clean documents stay. Every whole text is scored.
 
-Features of the labelled documents are stored once. Each step of the fit is a pass over them: tasks return vectors of
-the model's size, added up by a few tasks, and the driver holds the model alone.
+Features of the labelled documents are stored once, in few bytes. Each step of the fit is a pass over them: one task per core returns
+a vector of the model's size, added up by a few tasks, and the driver holds the model alone.
 
 Defined cases: a NULL text or one without word cores has ``x = 0``; rows are scored one by one, so repeated rows get the
 same score; without labels of both kinds nothing is rejected and severities are 0; other columns are untouched.
@@ -43,9 +43,9 @@ CLEAN_LOSS = 0.001
 #: Steps of the fit, and how many earlier ones each remembers.
 STEPS = 40
 MEMORY = 10
-#: Tasks that add up the vectors of all others, and documents whose features a task unpacks at once.
+#: Tasks that add up the vectors of all others, and features that a task unpacks at once.
 ADDERS = 4
-UNPACKED = 512
+UNPACKED = 400_000
 CORE = np.zeros(256, bool)
 CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -79,23 +79,36 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """Non-negative numbers in one, two or four bytes each, as the greatest of them needs."""
+    greatest = values.max(initial=0)
+    return values.astype("<u1" if greatest < 1 << 8 else "<u2" if greatest < 1 << 16 else "<u4").tobytes()
+
+
+def widened(packed: pa.Scalar, n: int) -> np.ndarray:
+    """The ``n`` numbers that :func:`narrow` packed."""
+    data = packed.as_buffer()
+    return np.frombuffer(data, f"<u{data.size // n}" if n else "<u1")
+
+
 def _stored_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``toxic, held_out, n, gaps, times`` of every labelled document: distances between its ascending buckets, and their occurrences."""
+    """``toxic, held_out, n, n_features, gaps, times`` of every labelled document: distances between its ascending buckets, and their occurrences."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in text_slices(batches):
             buckets, owners, counts = features(data, bounds)
             pairs, times = np.unique(owners * BUCKETS + buckets, return_counts=True)
             first = np.searchsorted(pairs, np.arange(len(counts) + 1) * BUCKETS)
-            gaps = [np.diff(pairs[a:b] % BUCKETS, prepend=0).astype("<u4").tobytes() for a, b in zip(first[:-1], first[1:])]
-            packed = [times[a:b].astype("<u4").tobytes() for a, b in zip(first[:-1], first[1:])]
+            gaps = [narrow(np.diff(pairs[a:b] % BUCKETS, prepend=0)) for a, b in zip(first[:-1], first[1:])]
+            packed = [narrow(times[a:b]) for a, b in zip(first[:-1], first[1:])]
+            numbers = [pa.array(counts.astype(np.int64)), pa.array(np.diff(first).astype(np.int64))]
             kinds = [rows.column("toxic"), rows.column("held_out")]
-            yield pa.RecordBatch.from_arrays([*kinds, pa.array(counts.astype(np.int64)), pa.array(gaps, pa.binary()), pa.array(packed, pa.binary())], names=["toxic", "held_out", "n", "gaps", "times"])
+            yield pa.RecordBatch.from_arrays([*kinds, *numbers, pa.array(gaps, pa.binary()), pa.array(packed, pa.binary())], names=["toxic", "held_out", "n", "n_features", "gaps", "times"])
 
     known = judged(labels).select(F.col("doc_id").alias("_labelled_id"), (F.col("toxic") > 0).alias("toxic")).hint("merge")
     labelled = require(docs, ["doc_id", "text"]).join(known, F.col("doc_id") == F.col("_labelled_id"))
     held_out = (F.pmod("doc_id", F.lit(5)) == 0) & ~F.col("toxic")
-    return labelled.select("text", "toxic", held_out.alias("held_out")).mapInArrow(extract, "toxic boolean, held_out boolean, n long, gaps binary, times binary")
+    return labelled.select("text", "toxic", held_out.alias("held_out")).mapInArrow(extract, "toxic boolean, held_out boolean, n long, n_features long, gaps binary, times binary")
 
 
 @dataclass
@@ -109,13 +122,18 @@ class Unpacked:
     rate: np.ndarray
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[Unpacked]:
+def _unpack(batches: Iterator[pa.RecordBatch], limit: int = 0) -> Iterator[Unpacked]:
+    """Documents of about ``limit`` features together, by default ``UNPACKED``; one with more comes by itself."""
     for batch in batches:
-        for at in range(0, batch.num_rows, UNPACKED):
-            part = batch.slice(at, UNPACKED)
+        n_features = batch.column(batch.schema.get_field_index("n_features")).to_numpy()
+        sums = np.concatenate([[0], np.cumsum(n_features)])
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(sums, sums[start] + (limit or UNPACKED), "right")) - 1)
+            part, sizes = batch.slice(start, end - start), n_features[start:end]
+            start = end
             column = {name: part.column(i) for i, name in enumerate(batch.schema.names)}
-            gaps, times = [[np.frombuffer(v.as_buffer(), "<u4") for v in column[name]] for name in ("gaps", "times")]
-            sizes = np.array([len(v) for v in gaps])
+            gaps, times = [[widened(v, n) for v, n in zip(column[name], sizes)] for name in ("gaps", "times")]
             row = np.repeat(np.arange(len(sizes)), sizes)
             total = np.concatenate([[0], np.cumsum(np.concatenate(gaps).astype(np.int64))])
             bucket = total[1:] - total[np.cumsum(sizes) - sizes][row]
@@ -124,6 +142,11 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[Unpacked]:
             yield Unpacked(*kinds, row, bucket, np.concatenate(times) / n[row])
 
 
+def _in_few_tasks(rows: DataFrame) -> DataFrame:
+    """A task per core: each sends a vector of the model's size, however few documents it has."""
+    return rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _added(rows: DataFrame, measure: Callable[..., np.ndarray], width: int, *given) -> np.ndarray:
     """The sum of a vector over all documents. Vectors are added in the order of their bytes, so that a repeated task adds alike.
 
@@ -142,7 +165,7 @@ def _added(rows: DataFrame, measure: Callable[..., np.ndarray], width: int, *giv
         total = sum((np.frombuffer(v) for v in vectors), np.zeros(width))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["vector"])
 
-    sums = rows.mapInArrow(measured, "vector binary").repartition(ADDERS).mapInArrow(add, "vector binary")
+    sums = _in_few_tasks(rows).mapInArrow(measured, "vector binary").repartition(ADDERS).mapInArrow(add, "vector binary")
     try:
         return sum((np.frombuffer(v) for v in sorted(bytes(row[0]) for row in collected(sums))), np.zeros(width))
     finally:
@@ -261,7 +284,7 @@ def _fitted(summed: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, squa
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on all labelled documents; a fifth of the clean ones is held out and places the cut."""
     nothing = Model(np.zeros(BUCKETS, np.float32), np.full(GRADES - 1, 40.0), np.inf)
-    rows = stored(_stored_features(docs, labels), "toxicity-features")
+    rows = stored(_stored_features(docs, labels), "toxicity-features", "zstd")
 
     def seen(part: Unpacked) -> np.ndarray:
         kinds = [part.toxic, ~part.toxic & ~part.held_out, part.held_out]

@@ -241,6 +241,26 @@ def test_passes_leave_no_shuffle_files_and_labels_are_not_broadcast(shipped):
     assert tracker.shuffleStatuses().size() <= before
 
 
+def test_a_pass_of_the_fit_sends_a_vector_per_core(shipped):
+    """However many files its documents are in; documents are unpacked up to a number of features, stored in few bytes each."""
+    texts = ["one two", "one " * 300 + "two", None, " ".join(f"word{n}" for n in range(400))]
+    docs = shipped.createDataFrame([(n, texts[n % 4]) for n in range(64)], "doc_id long, text string").repartition(64)
+    labels = shipped.createDataFrame([(n, 1, n % 2) for n in range(64)], "doc_id long, quality int, toxic int")
+    rows = toxicity.stored(toxicity._stored_features(docs, labels), "features").repartition(64)
+    cores = shipped.sparkContext.defaultParallelism
+    assert 64 > cores >= toxicity._in_few_tasks(rows).rdd.getNumPartitions()
+    assert toxicity._added(rows, lambda part: np.array([len(part.toxic), part.toxic.sum()], float), 2).tolist() == [64, 32]
+    whole = rows.toArrow().combine_chunks().to_batches()
+    expected = list(toxicity._unpack(iter(whole)))
+    assert len(expected) == 1
+    parts = list(toxicity._unpack(iter(whole), 50))
+    assert len(parts) > 16 and np.allclose(np.concatenate([p.rate for p in parts]), expected[0].rate)
+    assert np.concatenate([p.bucket for p in parts]).tolist() == expected[0].bucket.tolist()
+    assert np.isclose(expected[0].rate, 300 / 301).any()
+    bytes_each = rows.agg((F.sum(F.length("gaps") + F.length("times")) / F.sum("n_features")).alias("b")).first()["b"]
+    assert bytes_each < 4
+
+
 def test_a_pass_of_the_fit_leaves_no_files(shipped):
     """What goes to the tasks of a pass is gone with it, also where it is large."""
     def size():
