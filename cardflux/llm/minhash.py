@@ -134,7 +134,8 @@ def _node_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             columns = [pa.array([nodes[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary()), pa.array(bins, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "members", "bins"])
 
-    texts = require(docs, ["doc_id", "text"]).join(wanted, "doc_id")
+    # The wanted nodes grow with the documents, so they are never broadcast: the texts are shuffled once.
+    texts = require(docs, ["doc_id", "text"]).join(wanted.hint("merge"), "doc_id")
     return texts.select("node", "text").mapInArrow(build, "node long, members binary, bins binary")
 
 

@@ -69,6 +69,14 @@ def test_a_chain_and_a_crowd_of_variants(table_of):
     assert got == want and len({c for _, c in want.values()}) < 40
 
 
+def test_texts_are_fetched_by_one_plan_at_any_size(table_of, odd_pairs):
+    """The wanted nodes are as many as the documents allow, so they are no broadcast, even where they are few."""
+    docs = table_of(odd_pairs)
+    nodes = minhash.stored(minhash.signatures(docs).where("node is not null").select("node", "doc_id"), "few-nodes")
+    plan = minhash._node_sets(docs, nodes, minhash.SHINGLE)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_densified_bins_agree_as_often_as_sets_are_alike():
     shared, rest = np.arange(1, 400, dtype=np.uint64), np.arange(1000, 1100, dtype=np.uint64)
     pair = [np.unique(minhash.mix(s)) for s in (shared, np.concatenate([shared[:320], rest]))]
