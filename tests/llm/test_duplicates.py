@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import os
 import re
 from collections import Counter
 
@@ -194,3 +195,45 @@ def test_long_copies_that_drift_apart_are_cut(table_of):
     # Each section comes a second time in the range, and the second places lie on the diagonal.
     own = np.concatenate([np.arange(200), np.arange(100), np.arange(200, 300)]).astype("<u4")
     assert [m[:4] for m in passages.matching_passages(own, own, None, 0)] == [(0, 399, 0, 399)]
+
+
+def test_ruled_out_pairs_have_no_alike_passage_and_most_pairs_are_ruled_out(monkeypatch):
+    """Variants of one text, with words changed, moved, doubled and taken out: the first alike window is that of a search of all pairs."""
+    draw = np.random.default_rng(3)
+    windows = []
+    for uid in range(120):
+        tokens = np.arange(2 * passages.MARGIN + 1) + 1
+        tokens = np.where(draw.random(len(tokens)) < draw.choice([0.05, 0.15, 0.35]), draw.integers(1000, 10**6, len(tokens)), tokens)
+        if uid % 4 == 1:
+            tokens = np.delete(tokens, draw.integers(0, len(tokens), 8))
+        if uid % 4 == 2:
+            tokens[80:95] = tokens[20:35]
+        if uid % 4 == 3:
+            tokens = np.concatenate([tokens[:30], tokens[90:120], tokens[30:90], tokens[120:]])
+        windows.append({"uid": uid // 2, "c": passages.MARGIN + 1000 * (uid % 2), "sequence": tokens.astype("<u4").tobytes()})
+    x, y = windows[::2] + windows[1::6], windows
+
+    def searched(m):
+        own, at = np.frombuffer(m["sequence"], "<u4"), passages.MARGIN
+        for hub in sorted(y, key=lambda h: (h["uid"], h["c"])):
+            if (hub["uid"], hub["c"]) >= (m["uid"], m["c"]):
+                return []
+            shift = hub["c"] - m["c"] if hub["uid"] == m["uid"] else None
+            if any(a <= at <= b for a, b, *_ in passages.matching_passages(own, np.frombuffer(hub["sequence"], "<u4"), shift, 0)):
+                return [(m["uid"], hub["uid"], hub["c"], m["c"])]
+        return []
+
+    wanted = [edge for m in x for edge in searched(m)]
+    looked, real = [], passages.matching_passages
+    monkeypatch.setattr(passages, "matching_passages", lambda *pair: looked.append(0) or real(*pair))
+    assert passages.first_alike(x, y) == wanted and wanted
+    assert len(looked) < sum((h["uid"], h["c"]) < (m["uid"], m["c"]) for m in x for h in y) // 4
+
+
+def test_replaced_steps_are_deleted(table_of, odd_pairs, monkeypatch):
+    """Of the steps that hold texts or tokens none is left; before, ranges, sequences, pairs and blocks were."""
+    kept, real = {}, passages.stored
+    monkeypatch.setattr(passages, "stored", lambda df, purpose, *more: kept.setdefault(purpose, []).append(real(df, purpose, *more)) or kept[purpose][-1])
+    passages.passages(table_of(odd_pairs)).collect()
+    there = {purpose for purpose, frames in kept.items() for frame in frames if os.path.exists(frame._stored_in)}
+    assert not there & {"windows", "shared-windows", "hubs", "candidate-passages", "hub-ranges", "hub-sequences", "passage-pairs", "contexts", "blocks"}
