@@ -312,8 +312,8 @@ def latest_merchant_row(spark, sf_dir):
 
 
 def dedup_transactions(spark, sf_dir):
-    kept = star_ops.distinct_transactions(_lines_stage(spark, sf_dir))
-    return kept.select(*CURATED_KEYS, "event_time", "amount_usd")
+    """The copy of each id that is kept; copies are told apart by these columns first, so that no others are shuffled for it."""
+    return star_ops.distinct_transactions(_lines_stage(spark, sf_dir).select(*CURATED_KEYS, "event_time", "amount_usd"))
 
 
 def _two_batches(stage):
@@ -353,7 +353,8 @@ def load_star_fact(spark, sf_dir):
 def load_star_unresolved(spark, sf_dir):
     """Rows left out when the calendar ends before the data does."""
     star = _load(spark, stage := _lines_stage(spark, sf_dir), (fx.LINES_DATES[0], KNOWN_DATES_BEFORE))
-    left_out = star_ops.unresolved_rows(stage, star.with_fact(None))
+    # The look-up takes what the fact takes, by which copies are told apart; further columns are not asked for.
+    left_out = star_ops.unresolved_rows(stage.select(*star_ops.FACT_INPUTS), star.with_fact(None))
     return left_out.select(*CURATED_KEYS, "ingest_date", "amount_usd", "missing_keys")
 
 

@@ -15,7 +15,7 @@ from cardflux.operators.validation import enforce_schema
 from cardflux.plans import jobs, panels, views
 from cardflux.sources import tables
 from cardflux.sources.tables import to_stage
-from cardflux.workload import fixtures
+from cardflux.workload import fixtures, queries
 from tests.conftest import LOAD, NOW, record, uuid
 
 DATES = (dt.date(2025, 4, 1), dt.date(2025, 4, 30))
@@ -287,3 +287,20 @@ def test_added_events_leave_other_customers_alone(spark):
     some = {row["transaction_id"]: row["customer_id"] for row in fixtures.events_as_raw(events.where("event_id < 9")).collect()}
     more = {row["transaction_id"]: row["customer_id"] for row in fixtures.events_as_raw(events).collect()}
     assert some.items() <= more.items() and len(set(more.values())) > 1
+
+
+def test_copies_are_told_apart_without_columns_that_nobody_asks_for(spark, build, monkeypatch):
+    """The query's rows are those of whole copies, but the de-duplication gets the columns it needs."""
+    copies = [txn(1, amount_usd=5.0, city="A"), txn(1, amount_usd=4.0, city="B"), txn(1, amount_usd=4.0, city="A", customer_id="C-1"), txn(2, day=20), txn(2, day=20, channel="atm")]
+    _, stage = build(*copies)
+    monkeypatch.setattr(queries, "_lines_stage", lambda *_: stage)
+    whole = ops.distinct_transactions(stage)
+    left_out = ops.unresolved_rows(stage, queries._load(spark, stage, (DATES[0], dt.date(2000, 6, 30))).with_fact(None))
+    got, real = [], ops.distinct_transactions
+    monkeypatch.setattr(ops, "distinct_transactions", lambda frame: got.append(set(frame.columns)) or real(frame))
+    asked = ["transaction_id", "customer_id", "merchant_id", "event_time", "amount_usd"]
+    assert sorted(queries.dedup_transactions(spark, "").collect()) == sorted(whole.select(*asked).collect())
+    assert got == [set(asked)]
+    kept = queries.load_star_unresolved(spark, "")
+    assert sorted(kept.collect()) == sorted(left_out.select(*kept.columns).collect()) and kept.count() == 2
+    assert all(columns <= set(ops.FACT_INPUTS) for columns in got)
