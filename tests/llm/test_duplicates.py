@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cardflux.llm import minhash, passages, run_index
@@ -230,6 +231,79 @@ def test_ruled_out_pairs_have_no_alike_passage_and_most_pairs_are_ruled_out(monk
     assert len(looked) < sum((h["uid"], h["c"]) < (m["uid"], m["c"]) for m in x for h in y) // 4
 
 
+def test_windows_of_a_frequent_line_are_not_compared_pair_by_pair(monkeypatch):
+    """Windows that have a line of 30 tokens in common and nothing else, and among them groups of copies."""
+    draw = np.random.default_rng(6)
+    line, size = np.arange(30) + 1, 2 * passages.MARGIN + 1
+    rows = [draw.integers(10**3, 10**9, size) for _ in range(400)]
+    for copy in range(0, 400, 20):
+        rows[copy + 7] = np.where(draw.random(size) < 0.02, rows[copy + 7], rows[copy])
+    for row in rows:
+        row[passages.MARGIN - 15 : passages.MARGIN + 15] = line
+    windows = [{"uid": uid, "c": passages.MARGIN, "sequence": row.astype("<u4").tobytes()} for uid, row in enumerate(rows)]
+    judged, real = [], passages.may_be_alike
+    monkeypatch.setattr(passages, "may_be_alike", lambda targets, *more: judged.append(len(targets)) or real(targets, *more))
+    assert passages.first_alike(windows, windows) == [(copy + 7, copy, passages.MARGIN, passages.MARGIN) for copy in range(0, 400, 20)]
+    assert sum(judged) < 400
+
+
+def test_large_groups_are_dealt_out_in_cells(table_of, monkeypatch):
+    line = words(30, 30)
+    pairs = []
+    for n in range(12):
+        body = words(100 + n, 11) + line + words(200 + n, 11)
+        pairs += [(1000 + 3 * n + k, " ".join(words(300 + 3 * n + k, 60) + body + words(500 + 3 * n + k, 60))) for k in (0, 1, 2)]
+    pairs += pairs[:5]
+
+    def found():
+        return sorted(map(tuple, passages.near_duplicate_passages(table_of(pairs)).collect()))
+
+    monkeypatch.setattr(passages, "BLOCK", 4)
+    whole = found()
+    sizes, real = [], passages._windows_of
+    monkeypatch.setattr(passages, "PART", 8)
+    assert found() == whole and len({(r[0], r[1]) for r in whole}) >= 24
+    # Cells come whole, however rows are cut into batches, and equal rows are one window.
+    names = ["key", "cell", "uid", "c", "open", "whole", "part", "chunk", "sequence"]
+    rows = [(n // 5, 0, n, 9, True, True, 0, 0, bytes(4 * (n + 1))) for n in range(40) for _ in range(1 + n % 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*rows)], names=names)
+    monkeypatch.setattr(passages, "TOGETHER", 7)
+    for step in (1, 4, 60):
+        parts = list(passages._cells(iter([batch.slice(i, step) for i in range(0, 60, step)])))
+        assert len(parts) > 3 and [x for part in parts for x in part.column("uid").to_pylist()] == batch.column("uid").to_pylist()
+        assert all(part.num_rows >= 7 for part in parts[:-1])
+        seen = [part.column("key").to_pylist() for part in parts]
+        assert all(not set(x) & set(y) for x, y in zip(seen, seen[1:]))
+        for w in map(real, parts):
+            sizes += np.diff(w.bounds).tolist()
+            assert (w.tokens == 0).all() and len(w.uid) == len(set(w.uid.tolist()))
+    assert sizes == 3 * list(range(1, 41))
+
+
+def test_places_of_common_tokens_tell_whether_a_passage_is_alike():
+    draw, met = np.random.default_rng(5), 0
+    for n in range(1500):
+        first, other_first = draw.integers(0, 60, 2)
+        own, other = np.arange(first, first + draw.integers(46, 136)), np.arange(other_first, other_first + draw.integers(46, 136))
+        for tokens, unlike in ((own, 1000), (other, 200_000)):
+            changed = draw.random(len(tokens)) < draw.choice([0, 0.05, 0.15, 0.25])
+            tokens[changed] = unlike + draw.permutation(100_000)[: changed.sum()]
+        if n % 3 == 0:
+            other = np.delete(other, draw.integers(0, len(other), 6))
+        if n % 3 == 1:
+            other = np.roll(other, draw.integers(0, 40))
+        own, other = own.astype("<u4"), other.astype("<u4")
+        at, centre, shift = int(draw.integers(0, len(own))), int(first - other_first), None if n % 4 else int(draw.integers(0, 80))
+        zeros, two = np.zeros(2, np.int64), np.arange(2)
+        w = passages.Windows(zeros, zeros == 0, zeros, two, zeros, two == 0, zeros, np.concatenate([own, other]), np.cumsum([0, len(own), len(other)]))
+        target = passages.targets(w, two[:1], two[1:])
+        alike = any(a <= at <= b for a, b, *_ in passages.matching_passages(own, other, shift, centre))
+        assert passages.alike_about(target[0], centre, at, shift) == alike
+        assert not alike or len(passages.may_be_alike(target, np.array([True]), np.array([centre]), np.array([at]), zeros[:1])) == 1
+        met += alike
+    assert met > 100
+
+
 def test_replaced_steps_are_deleted(table_of, odd_pairs, monkeypatch):
     """Of the steps that hold texts or tokens none is left; before, ranges, sequences, pairs and blocks were."""
     kept, real = {}, passages.stored
