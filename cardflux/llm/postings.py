@@ -9,10 +9,11 @@ A query reads the lists within some ratio of its distance from the nearest, and
 distance is reached, all centroids are looked at. The ratio is the one that finds ``RECALL`` of the true neighbours, within the sample, of
 ``PROBED`` of its vectors. A query whose lists give it fewer than ``k`` neighbours reads all lists.
 
-Lists meet queries in blocks: both sides are cut into blocks of about ``BLOCK`` rows by the hash of their id, and every
-pair of blocks of one list is one row, scored by a task at a time. A list that holds a third of all vectors
-is many blocks. A task keeps the ``k`` best of each query over all its pairs, so that a query has at most ``k`` rows per task
-however many lists it reads. The result is rescored in double precision in a fixed order, so equal vectors have equal scores.
+Vectors are stored once per list that holds them, dealt by list; a list with a large share of the sample is dealt out to several tasks.
+Queries are stored once each, with the lists they read as bits. They meet the lists in passes of about ``QUERIES`` queries, which every
+task holds: it scores a list's vectors for the queries that read it, and keeps the ``k`` best of each query over all its lists, so that
+a query has at most ``k`` rows per task however many lists it reads. Only what a bound on rounding leaves among the best is
+scored in double precision in a fixed order, so equal vectors have equal scores.
 
 Defined cases: vectors that are NULL, zero, or hold NULL or non-finite components take no part, nor do rows
 with a NULL ``vec_id`` or vectors that are not of the table's most common length; of rows that share a ``vec_id`` the best
@@ -21,15 +22,18 @@ score counts once; ties go to the smaller ``vec_id``; other columns are left out
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardflux.llm.store import stored
+from cardflux.llm.textbytes import mix
 
 MAX_SAMPLE = 20_000
 MAX_LISTS = 4_096
@@ -39,11 +43,15 @@ MOST_REPLICAS = 4
 RECALL = 0.97
 PROBED = 256
 LEAST_PROBES = 16
-BLOCK = 1_024
+#: Rows of a list beyond which it is dealt out to several tasks.
+DEALT = 65_536
+#: About how many queries a pass sends to all tasks, and scores that a task computes at a time, along both sides.
+QUERIES = 16_384
+TILE = 1_024
 DEGREE = 24
 BEAM = 96
 #: Neighbours that a task holds for all its queries before it sends some on.
-HELD = 500_000
+HELD = 1_000_000
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -91,7 +99,7 @@ def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return np.concatenate([squares(x[i : i + 4096], centroids).argmin(axis=1) for i in range(0, len(x), 4096)])
+    return np.concatenate([squares(x[i : i + 512], centroids).argmin(axis=1) for i in range(0, len(x), 512)])
 
 
 @dataclass
@@ -100,12 +108,14 @@ class Graph:
 
     centroids: np.ndarray
     neighbours: np.ndarray
+    #: Shares of the sample that are nearest to each centroid.
+    shares: np.ndarray | None = None
 
     @classmethod
     def over(cls, centroids: np.ndarray) -> Graph:
         n = len(centroids)
         degree = min(DEGREE, n)
-        near = np.concatenate([np.argsort(squares(centroids[i : i + 512], centroids), axis=1, kind="stable")[:, :degree] for i in range(0, n, 512)])
+        near = np.concatenate([np.argsort(squares(centroids[i : i + 512], centroids), axis=1, kind="stable")[:, :degree].copy() for i in range(0, n, 512)])
         far = np.random.default_rng(4).integers(0, n, (n, 4))
         ring = (np.arange(n) + 1) % n  # so that every centroid can be reached
         return cls(centroids, np.concatenate([near, far, ring[:, None]], axis=1))
@@ -151,6 +161,8 @@ class Graph:
 
     def lists_to_hold(self, points: np.ndarray, margin: float) -> list[np.ndarray]:
         """For each vector its nearest list, and more of them near a boundary."""
+        if len(points) > 1024:
+            return [lists for i in range(0, len(points), 1024) for lists in self.lists_to_hold(points[i : i + 1024], margin)]
         found, distance = self.search(points, 32)
         apart = ((self.centroids[found] - self.centroids[found[:, :1]]) ** 2).sum(axis=2)
         # The squared distances differ by twice the product of the distance from the plane and the distance of the centroids.
@@ -200,10 +212,16 @@ def fit(rows: DataFrame, list_size: int = LIST_SIZE, margin: float = MARGIN, k:
     count, greatest = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
     if not count:
         return None
-    drawn = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(MAX_SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    hashed = rows.select("vec_id", "v", F.xxhash64("vec_id", "v").alias("hash"))
+    # The least hashes are looked for among some more than are wanted, as a task sorts what all others send it.
+    few = hashed.where(F.col("hash") < int(2 * MAX_SAMPLE / count * 2**64) - 2**63) if count > 4 * MAX_SAMPLE else hashed
+    few = few if few is hashed or few.count() >= MAX_SAMPLE else hashed
+    drawn = few.orderBy("hash", "vec_id").limit(MAX_SAMPLE).select("v").toArrow().column("v").combine_chunks()
     sample = matrix(drawn)
     lists = int(min(MAX_LISTS, max(1, -(-count // list_size)), len(sample)))
-    graph = Graph.over(balanced_centroids(lifted(sample, greatest), lists))
+    raised = lifted(sample, greatest)
+    graph = Graph.over(balanced_centroids(raised, lists))
+    graph.shares = np.bincount(nearest(raised, graph.centroids), minlength=len(graph.centroids)) / len(sample)
     return graph, greatest, graph.ratio(sample, greatest, margin, k, recall)
 
 
@@ -213,49 +231,96 @@ def lifted(vectors: np.ndarray, greatest: float) -> np.ndarray:
     return np.concatenate([vectors, rest[:, None]], axis=1)
 
 
-def _spread(rows: DataFrame, lists_of: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """``list, vec_id, v``: one row per list that holds (or is read by) a vector."""
+def _held(rows: DataFrame, lists_of: Callable[[np.ndarray], list[np.ndarray]], parts: np.ndarray) -> DataFrame:
+    """``list, vec_id, v``: one row per list that holds a vector, dealt by list and by ``parts`` of a list."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                lists = lists_of(matrix(part.column("v")))
-                take = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
-                columns = [pa.array(np.concatenate(lists)), part.column("vec_id").take(take), part.column("v").take(take)]
-                yield pa.RecordBatch.from_arrays(columns, names=["list", "vec_id", "v"])
+                vectors = matrix(part.column("v"))
+                lists = lists_of(vectors)
+                take = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                number = np.concatenate(lists)
+                hashes = mix(part.column("vec_id").to_numpy().view(np.uint64) ^ mix(vectors[:, 0].view(np.uint64)))[take]
+                columns = [pa.array(number), pa.array((hashes % parts[number].astype(np.uint64)).astype(np.int32)), *(part.column(name).take(pa.array(take)) for name in ("vec_id", "v"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["list", "part", "vec_id", "v"])
 
-    return rows.mapInArrow(place, "list int, vec_id long, v array<double>")
+    spread = rows.mapInArrow(place, "list int, part int, vec_id long, v array<double>")
+    return spread.repartition("list", "part").sortWithinPartitions("list").drop("part")
 
 
-def _blocks(spread: DataFrame, prefix: str) -> DataFrame:
-    """Blocks of about ``BLOCK`` rows of each list; ``spread`` is stored."""
-    sizes = spread.groupBy("list").agg(F.count(F.lit(1)).alias("n"))  # one row per list, at most MAX_LISTS
-    cut = spread.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.ceil(F.col("n") / BLOCK)))
-    return cut.groupBy("list", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias(prefix)).drop("block")
+def _asked(rows: DataFrame, lists_of: Callable[[np.ndarray], list[np.ndarray]], count: int) -> DataFrame:
+    """``vec_id, v, lists``: queries with the lists they read, a bit for each of ``count`` lists."""
 
-
-def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, vector and exact score of each query's ``k`` best ids in a block, ties to the smaller id."""
-    by_id = np.argsort(ids, kind="stable")
-    ids, vectors = ids[by_id], vectors[by_id]
-    heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    rough = queries @ vectors.T
-    rough[query_ids[:, None] == ids[None, :]] = -np.inf
-    out = []
-    slack = 1e-9 * (np.abs(queries).sum(axis=1) * np.abs(vectors).max() + 1e-300)
-    for row, query_id in enumerate(query_ids):
-        scores = rough[row]
-        # An id may stand in several rows; its best one counts, before anything is cut.
-        best = np.maximum.reduceat(scores, heads)
-        cut = np.partition(best, -k)[-k] - slack[row] if len(best) > k else -np.inf
-        near = np.flatnonzero((scores >= cut) & (scores > -np.inf))
-        exact = (vectors[near] * queries[row]).sum(axis=1)
-        order = np.lexsort((ids[near], -exact))
-        _, first = np.unique(ids[near][order], return_index=True)
-        order = order[np.sort(first)[:k]]
-        out.append((np.full(len(order), query_id), ids[near][order], exact[order]))
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                bits = np.zeros((part.num_rows, count), bool)
+                for row, lists in zip(bits, lists_of(matrix(part.column("v")))):
+                    row[lists] = True
+                packed = pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), packed], names=["vec_id", "v", "lists"])
+
+    return rows.mapInArrow(read, "vec_id long, v array<double>, lists binary")
+
+
+class Best:
+    """The ``k`` best of each of some queries, as lists of vectors come."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, reads: np.ndarray, k: int):
+        self.ids, self.of = np.unique(ids, return_inverse=True)
+        self.vectors, self.reads, self.k = vectors, reads, k
+        self.lengths = np.abs(vectors).sum(axis=1)
+        #: What is below cannot be among the ``k`` best of a query.
+        self.least = np.full(len(self.ids), -np.inf)
+        self.kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, number: int, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Vectors of a list."""
+        asking = np.flatnonzero(self.reads[:, number >> 3] >> (7 - (number & 7)) & 1)
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        for some in (slice(i, i + TILE) for i in range(0, len(ids), TILE)):
+            for rows in (asking[i : i + TILE] for i in range(0, len(asking), TILE)):
+                self._score(rows, ids[some], vectors[some])
+
+    def _score(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        of = self.of[rows]
+        rough = self.vectors[rows] @ vectors.T
+        rough[self.ids[of][:, None] == ids[None, :]] = -np.inf
+        slack = 1e-9 * (self.lengths[rows] * np.abs(vectors).max(initial=0) + 1e-300)
+        cut = self.least[of] - slack
+        near = rough >= cut[:, None]
+        if np.count_nonzero(near) > 2 * self.k * len(rows):
+            # An id may stand in several rows; its best one counts, before anything is cut.
+            heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            best = rough if len(heads) == len(ids) else np.maximum.reduceat(rough, heads, axis=1)
+            if best.shape[1] > self.k:
+                cut = np.maximum(cut, np.partition(best, -self.k, axis=1)[:, -self.k] - slack)
+                near = rough >= cut[:, None]
+        near &= rough > -np.inf
+        at, there = np.nonzero(near)
+        if len(at):
+            self.waiting.append((of[at], ids[there], (vectors[there] * self.vectors[rows[at]]).sum(axis=1)))
+            self.held += len(at)
+            if self.held >= HELD:
+                self.gather()
+
+    def gather(self) -> None:
+        self.kept, self.waiting, self.held = foremost([self.kept, *self.waiting], self.k), [], 0
+        query, _, score = self.kept
+        last = np.flatnonzero(np.bincount(query, minlength=len(self.ids)) == self.k)
+        self.least[last] = np.maximum(self.least[last], score[np.searchsorted(query, last, "right") - 1])
+
+    def sent(self) -> pa.RecordBatch:
+        self.gather()
+        query, vector, score = self.kept
+        self.kept = tuple(column[:0] for column in self.kept)
+        return pa.RecordBatch.from_arrays([pa.array(column) for column in (self.ids[query], vector, score)], names=["query_id", "vec_id", "score"])
 
 
 def foremost(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,39 +337,69 @@ def foremost(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) ->
     return query[near], vector[near], score[near]
 
 
-def _found(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
-    """``query_id, vec_id, score``: the ``k`` nearest of each query among the pairs of blocks that one task scores."""
+def _sent(asked: DataFrame) -> Broadcast:
+    """Ids, vectors and lists of the queries of a pass, for all tasks. ``asked`` has a row per query, or one per query and ``list``."""
+    table = asked.toArrow().combine_chunks()
+    columns = {name: column.chunk(0) if column.num_chunks else pa.array([], column.type) for name, column in zip(table.column_names, table.columns)}
+    ids, vectors = columns["vec_id"].to_numpy(), matrix(columns["v"])
+    if "list" in columns:
+        numbers = columns["list"].to_numpy()
+        bits = np.zeros((len(ids), int(numbers.max(initial=0)) + 1), bool)
+        bits[np.arange(len(ids)), numbers] = True
+        reads = np.packbits(bits, axis=1)
+    else:
+        reads = np.frombuffer(b"".join(columns["lists"].to_pylist()), np.uint8).reshape(len(ids), -1 if len(ids) else 0)
+    return asked.sparkSession.sparkContext.broadcast((ids, vectors, reads))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emitted() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=["query_id", "vec_id", "score"])
 
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        kept, waiting = none, []
+def _scored(sent: Broadcast, held: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: the ``k`` nearest of each query among the vectors that one task scores."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(*sent.value, k)
         for batch in batches:
-            for i in range(batch.num_rows):
-                queries, there = batch.column("queries")[i].values, batch.column("held")[i].values
-                waiting.append(best_of(queries.field("vec_id").to_numpy(), matrix(queries.field("v")), there.field("vec_id").to_numpy(), matrix(there.field("v")), k))
-                if sum(len(w[0]) for w in waiting) >= HELD:
-                    kept, waiting = foremost([kept, *waiting], k), []
-                    if len(kept[0]) > HELD // 2:
-                        yield emitted()
-                        kept = none
-        kept = foremost([kept, *waiting], k)
-        yield emitted()
+            if not batch.num_rows or not len(best.ids):
+                continue
+            numbers, ids, vectors = batch.column("list").to_numpy(), batch.column("vec_id").to_numpy(), matrix(batch.column("v"))
+            order = np.argsort(numbers, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1):
+                # Lists that no query of the pass reads may have numbers beyond the bits.
+                if numbers[rows[0]] >> 3 < best.reads.shape[1]:
+                    best.add(int(numbers[rows[0]]), ids[rows], vectors[rows])
+                if len(best.kept[0]) > HELD // 2:
+                    yield best.sent()
+        yield best.sent()
 
-    pairs = _blocks(asked, "queries").join(_blocks(held, "held"), "list").select("queries", "held")
-    return pairs.mapInArrow(score, "query_id long, vec_id long, score double")
+    return held.mapInArrow(score, "query_id long, vec_id long, score double")
 
 
-def _ranked(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest that the lists of each query hold."""
-    once = _found(asked, held, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+def _found(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    return _scored(_sent(asked), held, k)
+
+
+def _best_of(found: DataFrame, k: int) -> DataFrame:
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def _ranked(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest that the lists of each query hold; ``asked`` has the queries of one pass."""
+    return _best_of(_found(asked, held, k), k)
+
+
+def _in_passes(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """:func:`_ranked` for any number of queries; ``asked`` is stored. What a pass sends to the tasks ends with it."""
+    passes = max(1, -(-asked.count() // QUERIES))
+    out = []
+    for number in range(passes):
+        sent = _sent(asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == number))
+        out.append(stored(_best_of(_scored(sent, held, k), k), "neighbours"))
+        sent.destroy()
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def search(
     vectors: DataFrame,
     id_column: str = "vec_id",
@@ -330,12 +425,14 @@ def search(
     def everywhere(points: np.ndarray) -> list[np.ndarray]:
         return [np.arange(len(graph.centroids), dtype=np.int32)] * len(points)
 
+    lists = len(graph.centroids)
+    parts = np.maximum(np.ceil(2 * graph.shares * rows.count() / DEALT), 1).astype(np.int64)
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    held = stored(_spread(rows, lambda points: graph.lists_to_hold(lifted(points, greatest), margin)), "posting-lists")
-    ranked = stored(_ranked(stored(_spread(queries, read_by), "list-queries"), held, k), "neighbours")
+    held = stored(_held(rows, lambda points: graph.lists_to_hold(lifted(points, greatest), margin), parts), "posting-lists")
+    ranked = _in_passes(stored(_asked(queries, read_by, lists), "list-queries"), held, k)
     full = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = stored(queries.join(full, "vec_id", "left_anti"), "short-queries")
     if short.isEmpty():
         return ranked
-    again = _ranked(stored(_spread(short, everywhere), "list-queries"), held, k)
+    again = _in_passes(stored(_asked(short, everywhere, lists), "list-queries"), held, k)
     return ranked.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(again).select("query_id", "rank", "vec_id", "score")

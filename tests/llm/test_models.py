@@ -1,5 +1,6 @@
 import os
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -222,6 +223,43 @@ def test_a_task_sends_the_nearest_of_a_query_once(shipped, monkeypatch):
     assert [c.tolist() for c in postings.foremost(block, 1)] == [[1, 2], [7, 3], [0.9, 1.0]]
 
 
+def test_a_query_is_stored_once_and_passes_join_nothing(shipped, monkeypatch):
+    """Rows of queries do not grow with the lists they read; no side is broadcast by Spark's estimate; passes and dealt lists give the same rows."""
+    draw = np.random.default_rng(9)
+    frame = shipped.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw.normal(size=(1200, 8)))], "vec_id long, embedding array<double>")
+    counts, real = {}, postings.stored
+    monkeypatch.setattr(postings, "stored", lambda df, purpose: counts.setdefault(purpose, []).append(real(df, purpose)) or counts[purpose][-1])
+    whole = sorted(map(tuple, postings.search(frame, list_size=16, least_probes=4).collect()))
+    assert len(whole) == 60 * 20
+    assert [f.count() for f in counts["list-queries"]][0] == 60
+    for name, value in (("QUERIES", 7), ("DEALT", 8), ("HELD", 90), ("TILE", 5)):
+        monkeypatch.setattr(postings, name, value)
+    counts.clear()
+    assert sorted(map(tuple, postings.search(frame, list_size=16, least_probes=4).collect())) == whole
+    assert len(counts["neighbours"]) >= 9
+    plan = postings._found(counts["list-queries"][0], counts["posting-lists"][0], 5)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
+def test_the_fit_takes_little_memory_and_its_sample_the_least_hashes(shipped, monkeypatch):
+    draw = np.random.default_rng(10)
+    points = draw.normal(size=(4096, 9))
+    tracemalloc.start()
+    graph = postings.Graph.over(points[:1024])
+    postings.nearest(points, graph.centroids)
+    graph.lists_to_hold(points, 1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    rows = shipped.createDataFrame([(i, v.tolist()) for i, v in enumerate(points[:600])], "vec_id long, v array<double>")
+    wanted = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id", "v")).limit(40).collect()])
+    taken, real = [], postings.balanced_centroids
+    monkeypatch.setattr(postings, "balanced_centroids", lambda sample, lists: taken.append(sample) or real(sample, lists))
+    monkeypatch.setattr(postings, "MAX_SAMPLE", 40)
+    postings.fit(rows, 100)
+    assert np.array_equal(taken[0][:, :9], wanted)
+
+
 def test_no_vectors(shipped):
     assert postings.search(shipped.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
